@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from codeloom.llm.contamination import op10_decontaminate
 from codeloom.llm.quality import op9_quality_rules
 
 QUERIES = {
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
