@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from codeloom.llm.contamination import op10_decontaminate
 from codeloom.llm.quality import op9_quality_rules
+from codeloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
