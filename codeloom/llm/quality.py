@@ -22,7 +22,7 @@ from codeloom.llm.shared import cut, documents, let
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_digits")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_digits", "n_short")
 
 MIN_WORDS = 50
 #: A document with base_failed unset is dropped below this posterior.
@@ -72,6 +72,7 @@ def signals(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         F.regexp_count(raw, F.lit(r"[.!?]")).cast("long").alias("n_stops"),
         F.regexp_count(raw, F.lit(r"[0-9]")).cast("long").alias("n_digits"),
+        F.size(F.filter("_w", lambda x: (F.length(x) <= 3) & x.rlike(r"^\p{L}+$"))).cast("long").alias("n_short"),
     )
 
 
@@ -84,12 +85,16 @@ def votes() -> dict[str, Column]:
         return F.when(bad, F.lit(0)).when(good, F.lit(1)).otherwise(F.lit(-1))
 
     symbols, repeats = F.col("n_symbols") / words, F.col("n_repeat_words") / words
+    symbol_share = F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))
+    short = F.col("n_short") / words
     dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     stops, digits = F.col("n_stops") / words, F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "v_length": rule(F.col("n_words") >= 100, F.col("n_words") < MIN_WORDS),
         "v_word_length": rule(mean.between(3, 10), (mean < 2) | (mean > 14)),
         "v_symbols": rule(symbols <= 0.02, symbols > 0.1),
+        "v_symbol_share": rule(symbol_share <= 0.005, symbol_share > 0.03),
+        "v_short_words": rule(short >= 0.1, short < 0.04),
         "v_dup_lines": rule(dup <= 0.05, dup > 0.3),
         "v_repeats": rule(repeats <= 0.1, repeats > 0.3),
         "v_stops": rule(stops.between(0.02, 0.5), stops < 0.002),
@@ -97,14 +102,21 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, strength: float = 20.0) -> tuple[float, list[tuple[float, float]]]:
+#: Where expectation-maximisation starts, and what it is drawn to with the weight of STRENGTH * documents:
+#: a rule seldom condemns a good document, and sees only some of the ways in which one can be bad.
+PRIOR, START, STRENGTH = 0.9, (0.95, 0.4), 1e-3
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 300) -> tuple[float, list[tuple[float, float]]]:
     """Prior of good and (accuracy on good, accuracy on bad) per rule.
 
-    Beta priors of weight ``strength`` around 0.9 (rules are right more often than
-    not) and around 0.95 good keep the two classes from changing places.
+    The estimates depend on shares of patterns, not on how many documents there
+    are. A vote for good never counts as evidence for bad, nor the other way
+    round, which keeps the classes from changing places.
     """
-    prior, acc = 0.95, [(0.9, 0.9)] * n_rules
-    for _ in range(rounds):
+    prior, acc = PRIOR, [START] * n_rules
+    strength = STRENGTH * sum(n for _, n in patterns)
+    for _ in range(rounds if strength else 0):
         good_mass = bad_mass = 0.0
         hit = [[0.0, 0.0, 0.0, 0.0] for _ in range(n_rules)]  # right and cast on good, on bad
         for vote, n in patterns:
@@ -120,10 +132,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
                         h[0] += p
                     else:
                         h[2] += q
-        total = good_mass + bad_mass
-        new_prior = min(0.999, max(0.5, (good_mass + 0.95 * strength) / (total + strength)))
-        clamp = lambda x: min(0.995, max(0.55, x))
-        new = [(clamp((g + 0.9 * strength) / (gn + strength)), clamp((b + 0.9 * strength) / (bn + strength))) for g, gn, b, bn in hit]
+        new_prior = min(0.995, max(0.5, (good_mass + PRIOR * strength) / (good_mass + bad_mass + strength)))
+        new = []
+        for g, gn, b, bn in hit:
+            good = min(0.995, max(0.55, (g + START[0] * strength) / (gn + strength)))
+            new.append((good, min(0.995, max(1.005 - good, (b + START[1] * strength) / (bn + strength)))))
         moved = max([abs(new_prior - prior), *(abs(x - y) for a, b in zip(new, acc, strict=True) for x, y in zip(a, b, strict=True))])
         prior, acc = new_prior, new
         if moved < 1e-7:

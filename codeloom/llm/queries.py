@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from codeloom.llm.bpe import op5_bpe_chunks
 from codeloom.llm.contamination import op10_decontaminate
+from codeloom.llm.language import op8_language_id
 from codeloom.llm.quality import op9_quality_rules
 from codeloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op5_bpe_chunks": op5_bpe_chunks,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
