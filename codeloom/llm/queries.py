@@ -5,11 +5,15 @@ from __future__ import annotations
 from codeloom.llm.bpe import op5_bpe_chunks
 from codeloom.llm.contamination import op10_decontaminate
 from codeloom.llm.language import op8_language_id
+from codeloom.llm.licenses import op2_license_scan
+from codeloom.llm.lines import op1_line_dedup
 from codeloom.llm.near import op6_ngram_jaccard
 from codeloom.llm.quality import op9_quality_rules
 from codeloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
