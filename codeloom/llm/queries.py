@@ -9,11 +9,13 @@ from codeloom.llm.licenses import op2_license_scan
 from codeloom.llm.lines import op1_line_dedup
 from codeloom.llm.near import op6_ngram_jaccard
 from codeloom.llm.quality import op9_quality_rules
+from codeloom.llm.suffix import op3_suffix_dedup
 from codeloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
