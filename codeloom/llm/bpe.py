@@ -3,7 +3,9 @@
 A rolling hash over the text's bytes cuts documents into chunks whose borders
 depend on nearby bytes only, so copies, near copies and shared passages fall
 into equal chunks. A worker encodes each distinct chunk once while it stays in
-a cache of bounded size, whichever document brought it. Joining chunks can
+a cache of bounded size, whichever document brought it; chunks that are new are
+put together from their words, which have such a cache too (``pieces``), if the
+tokenizer is known to allow it. Joining chunks can
 change tokens near the border; every border is therefore encoded again inside
 a window of whole words, and the window grows until its pieces agree with both
 sides exactly (at worst it spans everything up to the chunk's end, which is an
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.pieces import PieceCache, blanks_part
 from codeloom.llm.shared import documents
 from codeloom.llm.token_counts import load, tokenizer_path
 from codeloom.llm.words import Prefix, table_slices
@@ -64,17 +67,31 @@ def chunk_borders(data: np.ndarray, offsets: np.ndarray, mean: int = MEAN_CHUNK)
 class Codec:
     """Encodes slices of documents; ``encode`` maps a list of texts to lists of ids."""
 
-    def __init__(self, encode, mean: int = MEAN_CHUNK, cache_bytes: int = CACHE_BYTES):
-        self.encode_texts, self.mean, self.cache_bytes = encode, mean, cache_bytes
+    def __init__(self, encode, mean: int = MEAN_CHUNK, cache_bytes: int = CACHE_BYTES, pieces: PieceCache | None = None):
+        self.encode_texts, self.mean, self.cache_bytes, self.pieces = encode, mean, cache_bytes, pieces
         self.cache: dict[bytes, np.ndarray] = {}
         self.held = self.encoded = self.reused = 0
 
     def encode_all(self, pieces: list[bytes]) -> list[np.ndarray]:
         return [np.array(x, np.int32) for x in self.encode_texts([p.decode() for p in pieces])]
 
+    def encode_fresh(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Chunks that the cache lacks: from their words where the tokenizer allows it."""
+        if self.pieces is None or not chunks:
+            return self.encode_all(chunks)
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
+        blank = _BLANK[data]
+        starts = np.union1d(np.flatnonzero(blank[:-1] & ~blank[1:]), first[:-1])
+        starts = starts[starts < len(data)]
+        ids, counts = self.pieces(data, starts, np.append(starts[1:], len(data)))
+        total = np.concatenate([[0], np.cumsum(counts)])
+        at = total[np.searchsorted(starts, first)]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def chunks(self, pieces: list[bytes]) -> list[np.ndarray]:
         fresh = list(dict.fromkeys(p for p in pieces if p not in self.cache))
-        made = dict(zip(fresh, self.encode_all(fresh), strict=True))
+        made = dict(zip(fresh, self.encode_fresh(fresh), strict=True))
         self.encoded += len(fresh)
         self.reused += len(pieces) - len(fresh)
         out = [made[p] if p in made else self.cache[p] for p in pieces]
@@ -155,7 +172,8 @@ _codecs: dict = {}
 def codec_of(path: str) -> Codec:
     """One codec, with its cache, for the life of the worker."""
     if path not in _codecs:
-        _codecs[path] = Codec(load(path))
+        encode = load(path)
+        _codecs[path] = Codec(encode, pieces=PieceCache(encode) if blanks_part(path) else None)
     return _codecs[path]
 
 
