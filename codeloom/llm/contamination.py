@@ -261,6 +261,24 @@ def find_contamination(
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(lambda it: scan(it, blocks), SCHEMA)
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark."""
+    sc = docs.sparkSession.sparkContext
+    made = (make_block(rows, window) for rows in block_rows(benchmark, item_column, item_text, block_bytes))
+    blocks = [SharedBlock(sc.broadcast(b)) for b in made if b is not None]
+    at = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], names=["doc_id", "text"])
+            bad = np.concatenate([np.asarray(x.column(5)) for x in scan(iter([pair]), blocks)] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(~bad.astype(bool)))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def benchmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 

@@ -8,6 +8,7 @@ from codeloom.llm.language import op8_language_id
 from codeloom.llm.licenses import op2_license_scan
 from codeloom.llm.lines import op1_line_dedup
 from codeloom.llm.near import op6_ngram_jaccard
+from codeloom.llm.passages import op4_passage_chains
 from codeloom.llm.quality import op9_quality_rules
 from codeloom.llm.suffix import op3_suffix_dedup
 from codeloom.llm.token_counts import op7_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_passage_chains": op4_passage_chains,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
