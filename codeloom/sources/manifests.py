@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def strip(x: Column) -> Column:
+    return F.btrim(x, F.lit(" \t\r\n"))
+
+
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.transform(F.split(text, "\n"), strip)
 
 
 def cargo(text: Column) -> Column:
@@ -15,7 +19,7 @@ def cargo(text: Column) -> Column:
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        name = F.trim(F.split(x, "=", 2)[0])
+        name = strip(F.split(x, "=", 2)[0])
         keep = a["on"] & x.contains("=") & ~x.startswith("#")
         return F.when(x.startswith("["), F.struct(x.contains("dependencies").alias("on"), a["out"].alias("out"))).otherwise(
             F.struct(a["on"].alias("on"), F.when(keep, F.concat(a["out"], F.array(name))).otherwise(a["out"]).alias("out"))
@@ -33,14 +37,14 @@ def package_json(text: Column) -> Column:
 
 def requirements(text: Column) -> Column:
     """O-06: what stands before the first of = > < ~ @ in lines that are no comments."""
-    names = F.transform(F.filter(_lines(text), lambda x: (x != "") & ~x.startswith("#")), lambda x: F.trim(F.split(x, "[=><~@]")[0]))
+    names = F.transform(F.filter(_lines(text), lambda x: (x != "") & ~x.startswith("#")), lambda x: strip(F.split(x, "[=><~@]")[0]))
     return F.filter(names, lambda x: x != "")
 
 
 def go_mod(text: Column) -> Column:
     """O-07: modules of ``require x`` lines and of ``require ( … )`` blocks."""
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
-    first = lambda x: F.btrim(F.split(F.trim(x), r"\s+")[0], F.lit('"'))
+    first = lambda x: F.btrim(F.split(strip(x), r"\s+")[0], F.lit('"'))
 
     def step(a: Column, x: Column) -> Column:
         add = lambda name: F.when(name != "", F.concat(a["out"], F.array(name))).otherwise(a["out"])
