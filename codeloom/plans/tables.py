@@ -90,7 +90,7 @@ class Catalog:
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
 
     def _pointer(self, name: str) -> str | None:
-        fs, jpath = self._fs(f"{self.root}/{name}/_current")
+        fs, jpath = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(jpath):
             return None
         return self.spark.read.text(jpath.toString()).first()[0]
@@ -123,11 +123,11 @@ class Catalog:
             df.repartitionByRange("node_id").sortWithinPartitions("node_id").write.parquet(path)
         else:
             df.write.parquet(path)
-        fs, new = self._fs(f"{self.root}/{name}/_next_{version}")
+        fs, new = self._fs(f"{self.root}/{name}/NEXT-{version}")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
-        _, current = self._fs(f"{self.root}/{name}/_current")
+        _, current = self._fs(f"{self.root}/{name}/CURRENT")
         fs.delete(current, False)
         fs.rename(new, current)
         return self.table(name)

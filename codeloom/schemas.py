@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARAM = T.StructType([T.StructField("name", T.StringType(), False), T.StructField("type", T.StringType())])
-SIGNATURE = T.StructType([T.StructField("params", T.ArrayType(PARAM, False)), T.StructField("returns", T.StringType())])
+PARAM = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
+SIGNATURE = T.StructType([T.StructField("params", T.ArrayType(PARAM)), T.StructField("returns", T.StringType())])
 
 NODES = T.StructType(
     [
@@ -15,7 +15,7 @@ NODES = T.StructType(
         T.StructField("kind", T.StringType(), False),
         T.StructField("name", T.StringType(), False),
         T.StructField("description", T.StringType()),
-        T.StructField("signatures", T.ArrayType(SIGNATURE, False), False),
+        T.StructField("signatures", T.ArrayType(SIGNATURE), False),
         T.StructField("language", T.StringType(), False),
         T.StructField("file_path", T.StringType(), False),
         T.StructField("start_line", T.IntegerType(), False),
@@ -46,7 +46,7 @@ META = T.StructType([T.StructField("key", T.StringType(), False), T.StructField(
 EMBEDDINGS = T.StructType(
     [
         T.StructField("node_id", T.StringType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), False),
         T.StructField("embedding_model", T.StringType(), False),
         T.StructField("created_at", T.TimestampType(), False),
     ]

@@ -36,7 +36,7 @@ def ingest(catalog: Catalog, root: str, checkpoint: str, available_now: bool = F
 
 def event_counts(events: DataFrame, width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """O-88 on a stream: events by type and window; late ones beyond ``delay`` are dropped."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
 
 
 def keep_last(events: DataFrame, path: str, checkpoint: str, size: int = 100) -> StreamingQuery:
