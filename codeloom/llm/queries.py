@@ -8,6 +8,7 @@ from codeloom.llm.language import op8_language_id
 from codeloom.llm.licenses import op2_license_scan
 from codeloom.llm.lines import op1_line_dedup
 from codeloom.llm.near import op6_ngram_jaccard
+from codeloom.llm.oracles import ORACLES
 from codeloom.llm.passages import op4_passage_chains
 from codeloom.llm.quality import op9_quality_rules
 from codeloom.llm.suffix import op3_suffix_dedup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
