@@ -518,6 +518,19 @@ def collapse(symbols: list[Symbol], language: str, compat: bool) -> list[Symbol]
     return out
 
 
+def python_imports(text: str) -> list[tuple[str, str]]:
+    """O-49: (name in the file, module or symbol it stands for) of top-level imports."""
+    code, out = Source(text, "python").code, []
+    for m in re.finditer(r"(?m)^(?:from[ \t]+([\w.]+)[ \t]+)?import[ \t]+(\([^)]*\)|[^\n;]+)", code):
+        for part in split_top(m[2].strip("() \t\r\n").replace("\n", " "), angles=False):
+            name, _, alias = (x.strip() for x in part.partition(" as "))
+            if not re.fullmatch(r"[\w.]+", name):
+                continue
+            whole = f"{m[1]}.{name}" if m[1] else name
+            out.append((alias or (name if m[1] else name.split(".")[-1]), whole))
+    return out
+
+
 def extract(path: str, language: str, text: str, compat: bool = False) -> tuple[list[dict], list[dict]]:
     """(symbols, references) of a file; a language without an extractor, or text it cannot read, gives none."""
     if language not in EXTRACTORS:

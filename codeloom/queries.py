@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codeloom import schemas
 from codeloom.functions.text import cosine, djb2
 from codeloom.operators import changes as ch
-from codeloom.operators import enrich, graph, search
+from codeloom.operators import enrich, graph, search, views
 from codeloom.operators.resolve import resolve
 from codeloom.plans import tables
 from codeloom.sources import files as sf
@@ -49,6 +49,11 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.lit("calls").alias("kind"), "from_id", "to_id", "confidence")
 
 
+def call_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same edges written once, as the catalog holds them, for walks that join them level by level."""
+    return tables.cut(call_edges(spark, d), "calls")
+
+
 def part_nodes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("kind"), F.col("p_brand").alias("file_path"), F.when(F.col("p_size") % 2 == 0, "python").otherwise("rust").alias("language"))
 
@@ -135,25 +140,25 @@ def incoming_edges(spark, d):
 @query(f"WITH RECURSIVE {bfs_sql(1, 3)} SELECT * FROM walk")
 def callees_depth3(spark, d):
     """O-64"""
-    return graph.callees(call_edges(spark, d), 1, 3)
+    return graph.callees(call_table(spark, d), 1, 3)
 
 
 @query(f"WITH RECURSIVE {bfs_sql(2, 3, True)} SELECT * FROM walk")
 def callers_depth3(spark, d):
     """O-65"""
-    return graph.callers(call_edges(spark, d), 2, 3)
+    return graph.callers(call_table(spark, d), 2, 3)
 
 
 @query(f"WITH RECURSIVE {bfs_sql(2, 10, True)}, {PARTS} SELECT node_id, name, kind FROM nodes WHERE node_id IN (SELECT from_id FROM walk)")
 def impacted_symbols(spark, d):
     """O-67"""
-    return graph.impacted(call_edges(spark, d), part_nodes(spark, d), 2).select("node_id", "name", "kind")
+    return graph.impacted(call_table(spark, d), part_nodes(spark, d), 2).select("node_id", "name", "kind")
 
 
 @query(f"WITH RECURSIVE {bfs_sql(2, 2, True)} SELECT count(*) AS callers, count(*) FILTER (WHERE confidence < 1) AS uncertain, count(*) > 10 AS warn FROM walk")
 def impact_summary(spark, d):
     """O-67b"""
-    return graph.impact_summary(call_edges(spark, d), 2)
+    return graph.impact_summary(call_table(spark, d), 2)
 
 
 @query(f"""WITH RECURSIVE {bfs_sql(1, 10)}, target AS (SELECT max(p_partkey) AS n FROM part),
@@ -162,7 +167,7 @@ SELECT depth::INTEGER AS step, from_id, to_id, confidence FROM back""")
 def call_path(spark, d):
     """O-66: from part 1 to the last part"""
     last = t(spark, d, "part").agg(F.max("p_partkey").alias("m")).first().m
-    return graph.call_path(call_edges(spark, d), 1, last)
+    return graph.call_path(call_table(spark, d), 1, last)
 
 
 INHERITS = """
@@ -252,6 +257,20 @@ def folder_keys(spark, d):
     return t(spark, d, "pages").select("page_id", graph.folder(F.col("url")).alias("folder"))
 
 
+@query(f"""WITH {CALLS}, i AS (SELECT to_id AS n, count(*) AS c FROM calls GROUP BY 1), o AS (SELECT from_id AS n, count(*) AS c FROM calls GROUP BY 1)
+SELECT p_partkey AS node_id, coalesce(i.c, 0) AS callers, coalesce(o.c, 0) AS callees FROM part LEFT JOIN i ON i.n = p_partkey LEFT JOIN o ON o.n = p_partkey""")
+def code_lenses(spark, d):
+    """O-91: how many calls go in and out of every node"""
+    return views.code_lenses(part_nodes(spark, d), call_edges(spark, d))
+
+
+@query("SELECT p_partkey, '**' || lower(p_type) || '** `' || p_name || '`' || chr(10) || chr(10) || p_brand || ':' || p_size AS text FROM part")
+def hover_text(spark, d):
+    """O-91: the text beside every node"""
+    head = F.concat(F.lit("**"), F.lower("p_type"), F.lit("** `"), "p_name", F.lit("`"))
+    return t(spark, d, "part").select("p_partkey", views.hover_text(head, F.lit(""), F.col("p_brand"), F.col("p_size")).alias("text"))
+
+
 # --- table maintenance -----------------------------------------------------------------------------------------------
 
 

@@ -226,3 +226,21 @@ def test_dirty_and_hash_gate(spark):
     assert sorted(r.path for r in ch.files_to_index(scan, known).collect()) == ["b", "c"]
     assert sorted(r.path for r in ch.files_to_index(scan, known, only).collect()) == ["b"]
     assert sorted(r.path for r in ch.files_to_index(scan, known, only, more).collect()) == ["b", "c"]  # Q33
+
+
+def test_views(spark, built):
+    from codeloom.operators import views
+
+    g = CodeGraph(built[0])
+    text = {r.node_id: r.text for r in views.hover(g.nodes).collect()}
+    assert text["src:b.rs:_:add"] == "**function** `add(a: i32) -> i32`\n\nAdds numbers.\n\nsrc/b.rs:2"
+    lens = {r.node_id: (r.callers, r.callees) for r in views.code_lenses(g.nodes, g.edges).collect()}
+    assert lens["src:a.py:_:helper"] == (2, 0) and lens["src:b.rs:_:add"] == (0, 1)
+    assert [r.line for r in views.call_lines(g.callees("src:b.rs:_:add")).collect()] == ["  -> src:a.py:_:helper"]
+
+
+def test_module_rules(spark):
+    df = spark.createDataFrame([("crates/core/src:a.rs:_:f",), ("src:m.rs:_:g",), (".:m.rs:_:g",), ("docs:x:_:y",)], "id string")
+    assert [r.m for r in df.select(graph.module_of(F.col("id")).alias("m")).collect()] == ["core", "root", "root", None]
+    paths = spark.createDataFrame([("a/b/c.py",), ("x.py",)], "p string")
+    assert [r.f for r in paths.select(graph.folder(F.col("p")).alias("f")).collect()] == ["a/b", "root"]

@@ -1,6 +1,6 @@
 import pytest
 
-from codeloom.extract.languages import extract
+from codeloom.extract.languages import extract, python_imports
 
 RUST = '''use a::b;
 
@@ -131,6 +131,11 @@ def test_java():
     assert [(r["from_id"].split(":")[-1], r["ref_name"]) for r in refs] == [("A", "run"), ("of", "list")]
 
 
+def test_python_imports():
+    text = "import os.path, re as r\nfrom a.b import (c as d,\n e)\ndef f():\n    import x\n"
+    assert python_imports(text) == [("path", "os.path"), ("r", "re"), ("d", "a.b.c"), ("e", "a.b.e")]
+
+
 @pytest.mark.parametrize("language", ["rust", "python", "typescript", "javascript", "go", "java"])
 def test_never_raises(language):
     import random
