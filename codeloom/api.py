@@ -133,6 +133,7 @@ class CodeGraph:
         return joined.select("node_id", enrich.snippet(F.col("content"), F.col("start_line"), F.col("end_line")).alias("source_code"))
 
     def tests(self, targets: DataFrame | None = None) -> DataFrame:
+        """(target_id, test_id); a null target stands for every one."""
         return enrich.test_association(self.nodes, self.nodes if targets is None else targets)
 
     def coverage(self, lines: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ def snippet(content: Column, start: Column, end: Column) -> Column:
 def test_association(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """O-79: (target_id, test_id): functions named like a test that name the target, or lie in a test path (Q43).
 
-    Tests in test paths go with every target by definition; the pairs by name are
-    found by an equi-join on the substrings of a test's name that are some target's
-    length, instead of comparing every test with every target.
+    Tests in test paths go with every target by definition, which one row with a
+    null target says for all of them; the pairs by name are found by an equi-join on
+    the substrings of a test's name that are some target's length, instead of
+    comparing every test with every target.
     """
     tests = nodes.where((F.col("kind") == "function") & F.lower("name").contains("test")).select(F.col("node_id").alias("test_id"), F.lower("name").alias("tn"), F.lower("file_path").contains("test").alias("in_tests"))
     wanted = targets.select(F.col("node_id").alias("target_id"), F.lower("name").alias("n")).withColumn("len", F.length("n"))
@@ -27,8 +28,7 @@ def test_association(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(1), F.length("tn") - F.col("len") + 1)
     grams = grams.select("test_id", "len", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("tn", i, F.col("len"))))).alias("n"))
     by_name = wanted.join(grams, ["n", "len"]).select("target_id", "test_id")
-    # Both sides are named in the result, which holds each such pair: the size of this join is that of its output.
-    everywhere = wanted.withColumn("j", F.lit(1)).join(tests.where("in_tests").withColumn("j", F.lit(1)), "j").select("target_id", "test_id")
+    everywhere = tests.where("in_tests").select(F.lit(None).cast(targets.schema["node_id"].dataType).alias("target_id"), "test_id")
     return by_name.unionByName(everywhere)
 
 

@@ -567,7 +567,8 @@ def signature_format(spark, d):
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, p_name || '_test' AS name, CASE WHEN p_size = 1 THEN 'tests/x' ELSE 'src/x' END AS path FROM part WHERE p_type = 'PROMO')
-SELECT s.name AS target, f.id AS test_id FROM (SELECT DISTINCT p_name AS name FROM part) AS s JOIN f ON contains(lower(f.name), lower(s.name)) OR contains(f.path, 'test')""")
+SELECT s.name AS target, f.id AS test_id FROM (SELECT DISTINCT p_name AS name FROM part) AS s JOIN f ON contains(lower(f.name), lower(s.name)) AND NOT contains(f.path, 'test')
+UNION ALL SELECT NULL, id FROM f WHERE contains(path, 'test')""")
 def test_association(spark, d):
     """O-79"""
     tests = t(spark, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").cast("string").alias("node_id"), F.concat("p_name", F.lit("_test")).alias("name"), F.lit("function").alias("kind"), F.when(F.col("p_size") == 1, "tests/x").otherwise("src/x").alias("file_path"))

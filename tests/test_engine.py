@@ -244,3 +244,9 @@ def test_module_rules(spark):
     assert [r.m for r in df.select(graph.module_of(F.col("id")).alias("m")).collect()] == ["core", "root", "root", None]
     paths = spark.createDataFrame([("a/b/c.py",), ("x.py",)], "p string")
     assert [r.f for r in paths.select(graph.folder(F.col("p")).alias("f")).collect()] == ["a/b", "root"]
+
+
+def test_tests_of_nodes(spark, built):
+    nodes = spark.createDataFrame([("f", "load", "function", "src/a.py"), ("t", "test_load_twice", "function", "src/b.py"), ("u", "test_other", "function", "tests/c.py"), ("v", "test_none", "class", "src/d.py")], "node_id string, name string, kind string, file_path string")
+    got = {(r.target_id, r.test_id) for r in enrich.test_association(nodes, nodes.where("node_id = 'f'")).collect()}
+    assert got == {("f", "t"), (None, "u")}  # Q43
