@@ -31,11 +31,11 @@ from codeloom.llm.shared import documents
 from codeloom.llm.token_counts import load, tokenizer_path
 from codeloom.llm.words import Prefix, table_slices
 
-SLICE = 1 << 20
+SLICE = 512 << 10
 ROLL = 16
 MEAN_CHUNK = 1024
 MIN_CHUNK = 64
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True

@@ -14,8 +14,8 @@ import numpy as np
 
 from codeloom.llm.words import Prefix
 
-MOST_PIECES = 600_000
-MOST_BYTES = 24 << 20
+MOST_PIECES = 400_000
+MOST_BYTES = 16 << 20
 LONGEST = 64
 
 #: The splitting rule whose matches never hold a blank (fixed value of the tokenizer's file).
