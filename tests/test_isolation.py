@@ -38,3 +38,19 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "score"]
+
+
+def test_queries_run_from_anywhere(tmp_path):
+    """Executors get the package from the driver, wherever it was started."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '1').getOrCreate()
+import __spark_entry__ as e
+print('rows', e.queries()['extract_nodes_go'](s, '').count())
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "rows 5" in out.stdout, out.stderr[-2000:]
