@@ -16,6 +16,7 @@ from codeloom.llm.near import keep_one
 from codeloom.llm.quality import keep_good
 from codeloom.llm.shared import cut, documents
 from codeloom.llm.token_counts import tokenizer_path
+from codeloom.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,21 +26,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: repeated chunks of lines are cut out; documents with nothing else go."""
+    ship(spark)
     return without_repeats(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each class of near duplicates stays."""
+    ship(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents with a window of a benchmark item go."""
+    ship(spark)
     return drop_contaminated(docs, benchmark_table(spark, sf_dir))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: every document as token ids, with digests of the ids and of what they decode to."""
+    ship(spark)
     return encode_documents(docs, tokenizer_path("word_bpe_49k.json"), ("ids", "n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id", "lang", "source"))
 
 

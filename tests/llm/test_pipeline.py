@@ -40,6 +40,20 @@ def test_equals_brute_force(spark, tmp_path):
     assert got == want and len(got) > 50
 
 
+def test_odd_rows(spark):
+    text = "The first line of it, with words. " + " ".join(f"word{i} {('of', 'and', 'the')[i % 3]}" for i in range(60)) + ".\nA second line stands here, too."
+    rows = [(1, text, "en", "s", 5, "k", 1), (1, text, "en", "s", 5, "k", 1), (None, text.replace("word", "term"), None, None, None, None, None), (2, None, "en", "s", 0, "k", 1), (3, "", None, "s", 0, None, 2), (4, (text + "\n") * 900, "en", None, None, "k", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, kept int")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == df.columns
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "None"] and all(r.n_tokens for r in out)
+    for _, stage in corpus_pipeline.STAGES:  # every stage takes such rows as they are, too
+        assert stage(spark, df, "/root/testdata/sf0.001").count() <= len(rows)
+
+
 def test_stages_keep_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
