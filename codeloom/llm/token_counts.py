@@ -132,7 +132,8 @@ def count_tokens(df: DataFrame, path: str, cache: str, id_column: str = "doc_id"
     picked = rows.withColumn("least", least).join(misses, ["digest", "least"], "left_semi").select("digest", "content")
     encoded = picked.mapInArrow(encode_misses(path), "digest binary, n_tokens long")
     encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    joined = keys.join(read_cache(spark, cache, version), "digest")
+    # Written first, so that the join's two sides are plain exchanges and a frequent text's rows can be split.
+    joined = keys.join(cut(read_cache(spark, cache, version), "counts"), "digest")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
