@@ -103,6 +103,8 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", sca
 
     many = chunks.where(F.col("lines") >= MIN_LINES)
     groups = many.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "idx")).alias("first")).where("n > 1").drop("n")
+    # Written first, so that the join's two sides are plain exchanges and a frequent chunk's rows can be split.
+    groups = cut(groups, "groups")
     repeats = many.join(groups, ["h1", "h2"]).select("doc_id", "text_key", "idx", "start", "end", "h1", "h2", "lines", (F.struct("doc_id", "text_key", "idx") == F.col("first")).alias("is_first"))
     repeats = cut(repeats.distinct(), "repeats")
 
