@@ -37,7 +37,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 #: A task compares at most so many forms, or bytes of their texts, with each other; larger components are split into blocks.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 1024
 BLOCK_BYTES = 16 << 20
 
 SLICE = 1 << 20
@@ -249,7 +249,8 @@ def near_duplicates(
     if not found.where("split").isEmpty():
         merged = components(found.where("split").select(F.col("rep").alias("a"), F.col("least").alias("b")))
         links = links.join(merged.withColumnRenamed("node", "least"), "least", "left").select("form", "links", F.coalesce("root", "least").alias("least"))
-    classes = forms.select("form", "rep", "copies").join(links, "form", "left")
+    # Written first, so that the join's two sides are plain exchanges and a frequent form's rows can be split.
+    classes = cut(forms.select("form", "rep", "copies").join(links, "form", "left"), "classes")
     out = signed.select("doc_id", "form").join(classes, "form", "left")
     real = F.nullif("doc_id", F.lit(NULL_ID))
     return out.select(
@@ -271,8 +272,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     """The rows of ``df`` without near duplicates: of each class the one with the least id stays."""
     classes = near_duplicates(df, id_column, text)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key")).distinct()
-    keyed = df.withColumn("_key", F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    keyed = df.select(row, F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)).alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
