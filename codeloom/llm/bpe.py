@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.pieces import PieceCache, blanks_part
+from codeloom.llm.pieces import _BLANK, PieceCache, blanks_part, piece_starts
 from codeloom.llm.shared import documents
 from codeloom.llm.token_counts import load, tokenizer_path
 from codeloom.llm.words import Prefix, table_slices
@@ -37,9 +37,6 @@ MEAN_CHUNK = 1024
 MIN_CHUNK = 64
 CACHE_BYTES = 24 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
 
 def chunk_borders(data: np.ndarray, offsets: np.ndarray, mean: int = MEAN_CHUNK) -> list[list[int]]:
     """For each document the chunk borders within the buffer, its start and end included."""
@@ -81,9 +78,7 @@ class Codec:
             return self.encode_all(chunks)
         data = np.frombuffer(b"".join(chunks), np.uint8)
         first = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
-        blank = _BLANK[data]
-        starts = np.union1d(np.flatnonzero(blank[:-1] & ~blank[1:]), first[:-1])
-        starts = starts[starts < len(data)]
+        starts = piece_starts(data, first)
         ids, counts = self.pieces(data, starts, np.append(starts[1:], len(data)))
         total = np.concatenate([[0], np.cumsum(counts)])
         at = total[np.searchsorted(starts, first)]

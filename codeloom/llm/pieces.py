@@ -42,6 +42,17 @@ def blanks_part(path: str) -> bool:
     return len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": WORD_PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1].get("type") == "ByteLevel" and not steps[1]["use_regex"] and not steps[1].get("add_prefix_space")
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at every document's start and at the last blank ahead of each word."""
+    blank = _BLANK[data]
+    starts = np.union1d(np.flatnonzero(blank[:-1] & ~blank[1:]), offsets[:-1])
+    return starts[starts < len(data)]
+
+
 class Store:
     """An array that grows at its end."""
 

@@ -18,12 +18,14 @@ import importlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.pieces import PieceCache, blanks_part, piece_starts
 from codeloom.llm.shared import cut, documents, new_path
-from codeloom.llm.words import table_slices
+from codeloom.llm.words import table_slices, text_buffer
 
 LIMIT = 2048
 #: Texts handed to the tokenizer at once, in bytes; encodings take some hundred bytes a token.
@@ -67,6 +69,19 @@ def load(path: str):
 
 def load_counter(path: str):
     """A function from texts to numbers of ids."""
+    if blanks_part(path):  # words are encoded once while they stay in a table of bounded size
+        if (key := (path, "pieces")) not in _loaded:
+            _loaded[key] = PieceCache(load(path))
+        pieces = _loaded[key]
+
+        def count(texts: list[str]) -> list[int]:
+            data, offsets = text_buffer(pa.array(texts, pa.string()))
+            starts = piece_starts(data, offsets)
+            _, counts = pieces(data, starts, np.append(starts[1:], len(data))) if len(starts) else (None, np.zeros(0, np.int64))
+            total = np.concatenate([[0], np.cumsum(counts)])
+            return np.diff(total[np.searchsorted(starts, offsets)]).tolist()
+
+        return count
     if path.endswith(".model"):
         encode = load(path)
         return lambda texts: [len(x) for x in encode(texts)]
