@@ -31,7 +31,7 @@ from codeloom.llm.shared import documents
 from codeloom.llm.token_counts import load, tokenizer_path
 from codeloom.llm.words import Prefix, table_slices
 
-SLICE = 512 << 10
+SLICE = 1 << 20
 ROLL = 16
 MEAN_CHUNK = 1024
 MIN_CHUNK = 64

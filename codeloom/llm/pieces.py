@@ -9,13 +9,14 @@ is found is compared byte by byte.
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 
 from codeloom.llm.words import Prefix
 
-MOST_PIECES = 400_000
-MOST_BYTES = 16 << 20
+MOST_PIECES = 800_000
+MOST_BYTES = 24 << 20
 LONGEST = 64
 
 #: The splitting rule whose matches never hold a blank (fixed value of the tokenizer's file).
@@ -49,8 +50,10 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces begin: at every document's start and at the last blank ahead of each word."""
     blank = _BLANK[data]
-    starts = np.union1d(np.flatnonzero(blank[:-1] & ~blank[1:]), offsets[:-1])
-    return starts[starts < len(data)]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[: max(0, len(data) - 1)] = blank[:-1] & ~blank[1:]
+    begins[offsets[:-1]] = True
+    return np.flatnonzero(begins[: len(data)])
 
 
 class Store:
@@ -172,7 +175,7 @@ class PieceCache:
             texts = [raw[a:b].decode() for a, b in zip(starts[add].tolist(), ends[add].tolist(), strict=True)]
             ids = self.encode(texts)
             counts = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
             small = np.arange(len(add)) < len(first)
             self.append(keys[add], data[ragged(starts[add], sizes[add])], sizes[add], flat, counts, small)
             entry[new] = base + back
