@@ -268,13 +268,24 @@ def name_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forms_of(scan_words(data, offsets)), pa.binary())], names=[*part.schema.names, "form"])
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each class the one with the least id stays."""
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", by_text: bool = False) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each class the one with the least id stays.
+
+    Rows that share an id are one document, of which one row stays; with ``by_text``
+    rows that share an id (or have none) but not the text are different documents.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    number = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID))
+    if by_text:
+        content = F.col(f"`{text}`")
+        keyed = df.select(row, number.alias("_id"), F.xxhash64(number, content).alias("_key"), content.alias("_text"))
+        classes = near_duplicates(keyed, "_key", "_text").select(F.col("doc_id").alias("_key"), F.col("class_id"))
+        ids = keyed.select("_key", "_id").distinct().join(classes.distinct(), "_key")
+        kept = ids.groupBy("class_id").agg(F.min(F.struct("_id", "_key")).alias("least")).select("least.*")
+        return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("_row.*")
     classes = near_duplicates(df, id_column, text)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    keyed = df.select(row, F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)).alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    return df.select(row, number.alias("_key")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,13 @@ def test_components(spark):
 def test_plan_reaches_recall():
     b, r = N.plan_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 128
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[2] + " more"), (3, texts[3]), (3, texts[4]), (4, texts[4]), (6, None), (7, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([rows[i] for i in (0, 1, 3, 5, 6, 8, 9)], key=str)
