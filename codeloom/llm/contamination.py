@@ -12,7 +12,9 @@ left out before the sort. Words are compared by 64-bit hashes in the search and
 byte by byte on the windows that it finds.
 
 Defined results: a null or empty document has no words and is clean; a null or
-empty item occurs nowhere; items that share an id count once; repeated
+empty item occurs nowhere; an item without an id is searched like others and
+counts in n_hit and contaminated, but not in n_items and the digest; items that
+share an id count once; repeated
 documents are judged each on its own; empty tables give no rows (documents) or
 only clean rows (benchmark).
 """
@@ -54,7 +56,7 @@ ARROW = pa.schema(
 class Block:
     """A block of items: their words as ids into a sorted vocabulary of word hashes."""
 
-    items: list[str]
+    items: list[str | None]
     texts: list[bytes]
     vocab: np.ndarray
     ids: np.ndarray  # of all words; 1-based, 0 is no word
@@ -67,7 +69,7 @@ class Block:
     heads: np.ndarray  # sorted keys of the first ``depth`` words of every suffix that has them
 
 
-def make_block(rows: list[tuple[str, str]], window: int) -> Block | None:
+def make_block(rows: list[tuple[str | None, str]], window: int) -> Block | None:
     data, offsets = text_buffer(pa.array([t for _, t in rows], pa.string()))
     w = scan_words(data, offsets)
     if not len(w.hashes):
@@ -199,7 +201,8 @@ def scan(batches: Iterator[pa.RecordBatch], blocks) -> Iterator[pa.RecordBatch]:
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + size, -1)
                 for d, i in set(zip(w.doc_of(at).tolist(), item.tolist(), strict=True)):
-                    items[d].add(b.items[i])
+                    if b.items[i] is not None:
+                        items[d].add(b.items[i])
                 some = np.flatnonzero(length)
                 np.maximum.at(longest, w.doc_of(some), length[some])
                 if len(blocks) > 1:
@@ -235,11 +238,11 @@ class SharedBlock:
         self.broadcast.__dict__.pop("_value", None)
 
 
-def block_rows(benchmark: DataFrame, id_column: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def block_rows(benchmark: DataFrame, id_column: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in blocks of bounded size; the driver holds one at a time."""
     rows, held = [], 0
     ids = F.col(f"`{id_column}`").cast("string").alias("item_id")
-    for r in benchmark.select(ids, F.col(f"`{text}`").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+    for r in benchmark.select(ids, F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").toLocalIterator():
         if rows and held + len(r.text) * 2 > block_bytes:
             yield rows
             rows, held = [], 0

@@ -80,3 +80,9 @@ def test_only_long_items_and_longest(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")])[1] == []
     assert run(spark, [(1, "a b c")], [])[1] == brute([(1, "a b c")], [])
+
+
+def test_items_without_id_are_searched(spark):
+    w = " ".join(f"q{i}" for i in range(12))
+    got, _ = run(spark, [(1, "x " + w), (2, "clean words")], [(None, w), (7, "other words here")])
+    assert [(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in sorted(got.collect())] == [(1, 12, 0, True), (2, 0, 0, False)]
