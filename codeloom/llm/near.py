@@ -4,10 +4,14 @@ Sets are the five-word shingles of a text's lower-cased words. Rows and bands
 come from the recall that is asked for at the threshold. Documents with equal
 word sequences are one form and go on as one row. Band hashes of forms are
 grouped, each group is tied to its least member, and connected components of
-those ties tell which forms can be linked at all; each component's texts move
-once, to one task (or, beyond a fixed size, to the pairs of its blocks), where
-pairs that share a band are verified on their full shingle sets. Links are
-counted and merged there: no pair is ever written out.
+those ties tell which forms can be linked at all. The texts of a component of
+up to one block move once, to one task, where pairs that share a band are
+verified on their full shingle sets. A larger component (near copies, or unlike
+documents chained by what they have in common) is taken apart into its band
+groups: texts move once for each group of two or more that they are in, groups
+beyond a block to the pairs of their blocks, and a pair is verified in the first
+band it shares. So only documents with an equal band are ever compared. Links
+are counted and merged where they are verified: no pair is ever written out.
 
 Result, a row for each input row: doc_id; copy_of, the least doc_id of equal
 word sequence; class_id, the least doc_id of its class of linked documents;
@@ -15,8 +19,9 @@ n_links, the other documents at or above the threshold, copies included.
 
 Defined results: texts with 1 to 4 words have one shingle, all their words; a
 text without words (null, empty) is alone in its class with no links; repeated
-rows are copies of each other; an empty table gives no rows; other columns are
-never read.
+rows are copies of each other; rows that share only the id (or have none) are
+different documents; an empty table gives no rows; texts of any length are taken
+whole; pairs exactly at the threshold are linked; other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.graph import components
+from codeloom.llm.keys import Keyed, key_rows, real_id
 from codeloom.llm.shared import cut, documents
 from codeloom.llm.words import mix, ngrams, scan_words, table_slices
 
@@ -41,7 +47,6 @@ BLOCK_DOCS = 1024
 BLOCK_BYTES = 16 << 20
 
 SLICE = 1 << 20
-NULL_ID = -(1 << 63)
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 128) -> tuple[int, int]:
@@ -132,10 +137,12 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def verify(texts: pa.Array, copies: np.ndarray, block: np.ndarray, cross: np.ndarray, bands: int, rows: int, threshold: float) -> tuple[np.ndarray, list[int]]:
+def verify(texts: pa.Array, copies: np.ndarray, group: np.ndarray, band: np.ndarray, block: np.ndarray, cross: np.ndarray, bands: int, rows: int, threshold: float) -> tuple[np.ndarray, list[int]]:
     """Links of each form, weighted by the partner's copies, and each form's least linked member (by position).
 
-    block, cross: forms of a split component are compared only across its two blocks where ``cross`` is set.
+    Forms are compared within their group; in the group of a band only if it is the
+    first band they share (band -1: if they share any), and in a pair of blocks
+    (``cross``) only across the two.
     """
     from codeloom.llm.words import text_buffer
 
@@ -152,9 +159,13 @@ def verify(texts: pa.Array, copies: np.ndarray, block: np.ndarray, cross: np.nda
     links, forest = np.zeros(m, np.int64), Forest(m)
     for lo in range(0, m, 128):
         hi = min(m, lo + 128)
-        near = np.zeros((hi - lo, m - lo), bool)
+        near, seen = np.zeros((hi - lo, m - lo), bool), np.zeros((hi - lo, m - lo), bool)
+        own = band[lo:hi, None]
         for b in range(bands):
-            near |= keys[lo:hi, b, None] == keys[None, lo:, b]
+            equal = keys[lo:hi, b, None] == keys[None, lo:, b]
+            near |= equal & ((own < 0) | ((own == b) & ~seen))
+            seen |= equal
+        near &= group[lo:hi, None] == group[None, lo:]
         near &= ~((cross[lo:hi, None]) & (block[lo:hi, None] == block[None, lo:]))
         for p in range(lo, hi):
             q = np.flatnonzero(near[p - lo, p - lo + 1 :]) + p + 1
@@ -177,53 +188,56 @@ def verify(texts: pa.Array, copies: np.ndarray, block: np.ndarray, cross: np.nda
 
 
 def verify_groups(batches: Iterator[pa.RecordBatch], bands: int, rows: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (root, i, j); whole groups are compared, small ones together."""
+    """Rows come sorted by (grp, band, i, j); whole groups are compared, small ones together."""
 
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def flush(parts: list[pa.RecordBatch], sizes: list[int]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         order = np.argsort(np.asarray(t["rep"]), kind="stable")
-        t = t.take(pa.array(order))
-        # Repeated rows of one form count as its copies already.
-        form = t["form"].to_pylist()
-        keep = list({(a, b): i for i, (a, b) in reversed(list(enumerate(zip(form, t["j"].to_pylist(), strict=True))))}.values())[::-1]
-        t = t.take(pa.array(keep, pa.int64())).combine_chunks()
+        group = np.repeat(np.arange(len(sizes)), sizes)[order]
+        t = t.take(pa.array(order)).combine_chunks()
         i, j = np.asarray(t["i"]), np.asarray(t["j"])
-        links, least = verify(t["content"], np.asarray(t["copies"]), np.asarray(t["block"]), i != j, bands, rows, threshold)
+        links, least = verify(t["content"], np.asarray(t["copies"]), group, np.asarray(t["band"]), np.asarray(t["block"]), i != j, bands, rows, threshold)
         rep = np.asarray(t["rep"])
         return pa.RecordBatch.from_arrays([t["form"].combine_chunks(), pa.array(rep), pa.array(links), pa.array(rep[np.array(least, np.int64)]), t["split"].combine_chunks()], names=["form", "rep", "links", "least", "split"])
 
     held: list[pa.RecordBatch] = []
+    sizes: list[int] = []
     held_rows = held_bytes = 0
     last = None
     for batch in batches:
-        keys = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("root", "i", "j")], 1)
+        keys = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("grp", "band", "i", "j")], 1)
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
                 continue
             key = tuple(keys[a])
             part = batch.slice(a, b - a)
-            if held and key != last and (held_rows + part.num_rows > 1024 or held_bytes > (4 << 20) or keys[a][1] != keys[a][2]):
-                yield flush(held)
-                held, held_rows, held_bytes = [], 0, 0
+            across = key[2] != key[3]
+            if held and key != last and (held_rows + part.num_rows > 1024 or held_bytes > (4 << 20) or across):
+                yield flush(held, sizes)
+                held, sizes, held_rows, held_bytes = [], [], 0, 0
             held.append(part)
+            if key == last and sizes:
+                sizes[-1] += part.num_rows
+            else:
+                sizes.append(part.num_rows)
             held_rows += part.num_rows
             held_bytes += int(np.asarray(part.column(part.schema.get_field_index("size"))).sum())
             last = key
-            if keys[a][1] != keys[a][2]:
+            if across:
                 held_rows = 1 << 30  # a pair of blocks is compared by itself
     if held:
-        yield flush(held)
+        yield flush(held, sizes)
 
 
-def near_duplicates(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL,
-    block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """doc_id, copy_of, class_id, n_links for every row of ``df``."""
+def blocks_of(n, size, block_docs: int, block_bytes: int):
+    return F.greatest(F.ceil(n / block_docs), F.ceil(size / block_bytes)).cast("int")
+
+
+def near_classes(keyed: Keyed, threshold: float, recall: float, block_docs: int, block_bytes: int) -> DataFrame:
+    """(doc_id, rep, copies, least, links) by row of ``keyed``: its form's least document, its class's least one, and links; nulls without words or links."""
     bands, rows = plan_bands(threshold, recall)
-    docs = df.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text}`").alias("content"))
-    signed = cut(docs.mapInArrow(lambda it: sign(it, bands, rows), "doc_id long, form binary, size long, bands array<long>"), "signed")
+    signed = cut(keyed.rows.select("doc_id", "content").mapInArrow(lambda it: sign(it, bands, rows), "doc_id long, form binary, size long, bands array<long>"), "signed")
     forms = signed.where("form IS NOT NULL").groupBy("form").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("size").alias("size"))
     forms = cut(forms, "forms")
 
@@ -232,60 +246,70 @@ def near_duplicates(
     ties = banded.join(groups, "key").where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     roots = components(ties)
 
-    member = forms.drop("bands").join(roots.withColumnRenamed("node", "rep"), "rep")
-    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("size") / block_bytes)).cast("int").alias("blocks"))
-    member = member.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("form"), F.col("blocks")).cast("int"))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(member.drop("form"), "rep")
+    member = forms.join(roots.withColumnRenamed("node", "rep"), "rep")
+    sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    member = cut(member.join(sizes.select("root", (blocks_of(F.col("n"), F.col("bytes"), block_docs, block_bytes) > 1).alias("split")), "root"), "member")
+    place = lambda grp, band, block, blocks: F.struct(F.col(grp).alias("grp"), band.cast("int").alias("band"), block.cast("int").alias("block"), blocks.cast("int").alias("blocks"))
+    places = member.where("NOT split").select("rep", F.array(place("root", F.lit(-1), F.lit(0), F.lit(1))).alias("places"))
+    large = member.where("split").select("rep", "form", "size", F.posexplode("bands").alias("band", "key"))
+    if not large.isEmpty():
+        sums = large.groupBy("key").agg(
+            F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")
+        )
+        # Of bands' groups with the same members only the first can be the first band of a pair.
+        sums = sums.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("first"), F.first("bytes").alias("bytes"))
+        sums = sums.select(F.col("first.key").alias("key"), blocks_of(F.col("n"), F.col("bytes"), block_docs, block_bytes).alias("blocks"))
+        there = large.join(sums, "key").select("rep", place("key", F.col("band"), F.pmod(F.xxhash64("form"), F.col("blocks")), F.col("blocks")).alias("p"))
+        places = places.union(there.groupBy("rep").agg(F.collect_list("p").alias("places")))
+    texts = keyed.texts().withColumnRenamed("doc_id", "rep").join(member.select("rep", "form", "copies", "size", "split").join(places, "rep"), "rep")
     # A pair of blocks (i, j) gets the forms of both; a block is compared within itself at (i, i).
-    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "size", (F.col("blocks") > 1).alias("split"), "content")
-    # The joined member may be of another form under a repeated id, so forms are told from the texts again.
-    named = spread.mapInArrow(name_forms, "root long, i int, j int, block int, rep long, copies long, size long, split boolean, content string, form binary")
-    placed = named.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    spread = texts.withColumn("p", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
+    spread = spread.select("p.grp", "p.band", F.least("p.block", "other").alias("i"), F.greatest("p.block", "other").alias("j"), "p.block", "rep", "copies", "size", "split", "content", "form")
+    placed = spread.repartition("grp", "band", "i", "j").sortWithinPartitions("grp", "band", "i", "j")
     found = placed.mapInArrow(lambda it: verify_groups(it, bands, rows, threshold), "form binary, rep long, links long, least long, split boolean")
     found = cut(found, "links")
 
     links = found.groupBy("form").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
     if not found.where("split").isEmpty():
-        merged = components(found.where("split").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        merged = components(found.where("split").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
         links = links.join(merged.withColumnRenamed("node", "least"), "least", "left").select("form", "links", F.coalesce("root", "least").alias("least"))
     # Written first, so that the join's two sides are plain exchanges and a frequent form's rows can be split.
     classes = cut(forms.select("form", "rep", "copies").join(links, "form", "left"), "classes")
-    out = signed.select("doc_id", "form").join(classes, "form", "left")
-    real = F.nullif("doc_id", F.lit(NULL_ID))
-    return out.select(
-        real.alias("doc_id"),
-        F.nullif(F.coalesce("rep", "doc_id"), F.lit(NULL_ID)).alias("copy_of"),
-        F.nullif(F.coalesce("least", "rep", "doc_id"), F.lit(NULL_ID)).alias("class_id"),
-        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-    )
+    return signed.select("doc_id", "form").join(classes, "form", "left").drop("form")
 
 
-def name_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in table_slices(batch, "content", SLICE):
-            part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forms_of(scan_words(data, offsets)), pa.binary())], names=[*part.schema.names, "form"])
+def near_duplicates(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL,
+    block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """doc_id, copy_of, class_id, n_links for every row of ``df``."""
+    keyed = key_rows(df, id_column, text)
+    out = near_classes(keyed, threshold, recall, block_docs, block_bytes).select(
+        "doc_id", F.coalesce("rep", "doc_id").alias("copy_of"), F.coalesce("least", "rep", "doc_id").alias("class_id"),
+        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+    for column in ("copy_of", "class_id", "doc_id"):
+        out = real_id(out, keyed.names, column)
+    return out.select("doc_id", "copy_of", "class_id", "n_links")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", by_text: bool = False) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each class the one with the least id stays.
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", by_text: bool = True) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each class the document with the least id stays.
 
-    Rows that share an id are one document, of which one row stays; with ``by_text``
-    rows that share an id (or have none) but not the text are different documents.
+    Rows that share id and text are one document, of which one row stays (that with
+    the least hash of all its columns); rows that share only the id, or have none, are
+    different documents; texts without words (null, empty) stay; an empty table gives
+    no rows; other columns, whatever their names, pass through.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    number = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID))
-    if by_text:
-        content = F.col(f"`{text}`")
-        keyed = df.select(row, number.alias("_id"), F.xxhash64(number, content).alias("_key"), content.alias("_text"))
-        classes = near_duplicates(keyed, "_key", "_text").select(F.col("doc_id").alias("_key"), F.col("class_id"))
-        ids = keyed.select("_key", "_id").distinct().join(classes.distinct(), "_key")
-        kept = ids.groupBy("class_id").agg(F.min(F.struct("_id", "_key")).alias("least")).select("least.*")
-        return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("_row.*")
-    classes = near_duplicates(df, id_column, text)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key")).distinct()
-    return df.select(row, number.alias("_key")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    keyed = key_rows(df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), row), "id", "text", ("row",))
+    classes = near_classes(keyed, THRESHOLD, RECALL, BLOCK_DOCS, BLOCK_BYTES)
+    kept = classes.where(F.coalesce("least", "rep", "doc_id") == F.col("doc_id")).select("doc_id")
+    rows = keyed.rows.select("doc_id", "row").join(kept.distinct() if keyed.repeated else kept, "doc_id", "left_semi")
+    if keyed.repeated:
+        plain = [F.col("row").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        rows = rows.groupBy("doc_id").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return rows.select("row.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

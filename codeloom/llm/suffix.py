@@ -25,9 +25,10 @@ First means the smallest document id, then the smallest start. Texts move twice:
 to fetch contexts, and to cut what is removed.
 
 Defined results: null is the empty text; nothing crosses documents; rows that
-share an id are one document (the same spans, clipped to each row's text, are
-removed from each); a null id comes before all others; an empty table gives no
-rows; other columns are never read.
+share id and text are one document and get the same result; rows that share only
+the id (or have none) are different documents, in the order of their texts'
+hashes; a null id comes before all others; an empty table gives no rows; texts
+of any length are treated whole; other columns are never read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.keys import key_rows
 from codeloom.llm.shared import cut, documents, free_shuffles
 from codeloom.llm.words import Prefix, mix, table_slices
 
@@ -49,7 +51,6 @@ K = 32
 LIMIT = 1024
 RANGES = 4
 SLICE = 2 << 20
-NULL_ID = -(1 << 63)
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -218,9 +219,7 @@ def fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             doc = row[sel] - lo
             begin, end = offsets[doc], offsets[doc + 1]
             pos = at[sel] + begin
-            fits = pos + K <= end  # a row whose id has another text may be shorter
-            doc, pos, begin, end = doc[fits], pos[fits], begin[fits], end[fits]
-            hh, hot_, name = h[sel][fits], hot[sel][fits], ids[lo:hi][doc]
+            hh, hot_, name = h[sel], hot[sel], ids[lo:hi][doc]
             left, right = np.minimum(pos - begin, reach), np.minimum(end - pos - K, reach)
             p = Prefix(data)
             parts = [(np.flatnonzero(~hot_), 0, reach)]
@@ -445,11 +444,11 @@ def remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
 
 def substring_dedup(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text: str = "text", limit: int = LIMIT, with_text: bool = False) -> DataFrame:
     """Per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes ``kept``."""
-    docs = df.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("content"))
-    spans = find_spans(docs, length, limit).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "spans", "content")
-    out = joined.mapInArrow(lambda it: remove(it, with_text), RESULT + (", kept binary" if with_text else ""))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    keyed = key_rows(df, id_column, text)
+    docs = keyed.rows.withColumn("content", F.coalesce("content", F.lit("")))
+    spans = find_spans(keyed.texts(), length, limit).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = docs.join(spans, "doc_id", "left").select(F.col("name").alias("doc_id"), "spans", "content")
+    return joined.mapInArrow(lambda it: remove(it, with_text), RESULT + (", kept binary" if with_text else ""))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,17 @@ def test_repeated_rows_and_empty_table(spark):
     assert S.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    fresh = lambda c: " ".join(f"{c}{i}" for i in range(80))
+    x, y, z = fresh("x"), fresh("y"), fresh("z")
+    rows = [(5, x + x), (5, y + " " * 400), (5, y + " " * 400), (None, z), (None, None), (None, "other " + z), (8, y)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in S.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5, 2 * len(x)] == len(x) and got[8, len(y)] == len(y) and got[None, 0] == 0
+    # Of the two texts without an id that share z one keeps it.
+    assert sorted((got[None, len(z)], got[None, len(z) + 6])) in ([0, len(z)], [0, len(z) + 1])
+    assert got[5, len(y) + 400] == 399  # all but the first byte of the run of blanks
+
+
 def test_groups_are_maximal_repeats():
     rng = random.Random(2)
     n = 100
