@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import changes as ch
 from codeloom.operators import enrich, graph, search
-from codeloom.plans.tables import Catalog
+from codeloom.plans.tables import Catalog, text_columns
+from codeloom.plans.textindex import stored_weights
 
 
 class CodeGraph:
@@ -17,7 +18,6 @@ class CodeGraph:
 
     def __init__(self, catalog: Catalog):
         self.c = catalog
-        self._index = None
 
     @property
     def nodes(self) -> DataFrame:
@@ -27,9 +27,6 @@ class CodeGraph:
     def edges(self) -> DataFrame:
         return self.c.table("edges")
 
-    def _text(self):
-        return F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))
-
     def _full_text(self):
         sigs = F.array_join(F.flatten(F.transform("signatures", lambda s: F.concat(F.flatten(F.transform(s["params"], lambda p: F.array(p["name"], F.coalesce(p["type"], F.lit(""))))), F.array(F.coalesce(s["returns"], F.lit("")))))), " ")
         return F.concat_ws(" ", "name", F.coalesce("description", F.lit("")), sigs)
@@ -47,17 +44,22 @@ class CodeGraph:
 
     def search(self, query: str, limit: int = 20, kind: str | None = None, prefilter: bool = False) -> DataFrame:
         """O-52, O-55: the kind filter comes after the limit, or before it with ``prefilter`` (Q4)."""
-        base = self.nodes.where(F.col("kind") == kind) if kind and prefilter else self.nodes
-        found = self._with_nodes(search.full_text(base, query, limit, "node_id", self._text()), False)
+        if kind and prefilter:
+            index = search.postings(self.nodes.where(F.col("kind") == kind), "node_id", text_columns())
+        else:
+            index = self.c.postings()
+        found = self._with_nodes(search.full_text(index, query, limit), False)
         return found.where(F.col("kind") == kind) if kind else found
 
+    def _weights(self) -> DataFrame:
+        """O-60: the TF-IDF table of this version of the nodes; the first search makes it."""
+        return stored_weights(self.nodes, "node_id", self._full_text(), self.c.search_path())
+
     def semantic_search(self, query: str, limit: int = 20) -> DataFrame:
-        return self._with_nodes(search.tfidf_search(self.nodes, query, limit, "node_id", self._full_text()), True)
+        return self._with_nodes(search.tfidf_search(self._weights(), query, limit, "node_id"), True)
 
     def hybrid_search(self, query: str, limit: int = 20) -> DataFrame:
-        a = search.ranked(search.full_text(self.nodes, query, 2 * limit, "node_id", self._text()), [F.col("score"), F.col("node_id")])
-        b = search.ranked(search.tfidf_search(self.nodes, query, 2 * limit, "node_id", self._full_text()), [F.desc("score"), F.col("node_id")])
-        return self._with_nodes(search.fuse(a, b, limit, "node_id"), True)
+        return self._with_nodes(search.hybrid(self.c.postings(), self._weights(), query, limit), True)
 
     def semantic_search_embeddings(self, query: str, model: str = "local/tfidf", limit: int = 20) -> DataFrame:
         """O-61d"""

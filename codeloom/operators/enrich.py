@@ -32,18 +32,35 @@ def test_association(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return by_name.unionByName(everywhere)
 
 
+def tests_of(nodes: DataFrame, targets: list[str]) -> DataFrame:
+    """O-79: (target_id, test_id) of stated targets: one pass over the tests, each compared with these targets only."""
+    asked = nodes.where(F.col("node_id").isin(*targets)).agg(F.collect_set(F.struct(F.col("node_id").alias("id"), F.lower("name").alias("name"))).alias("t")).scalar()
+    tests = nodes.where((F.col("kind") == "function") & F.lower("name").contains("test"))
+    pairs = tests.select(F.col("node_id").alias("test_id"), F.lower("name").alias("tn"), F.lower("file_path").contains("test").alias("in_tests"), F.explode(asked).alias("t"))
+    return pairs.where(F.col("in_tests") | F.col("tn").contains(F.col("t.name"))).select(F.col("t.id").alias("target_id"), "test_id")
+
+
+def substring_pairs(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """(part, whole) of distinct strings one of which contains the other: an equi-join on the whole's substrings that are as long as some part."""
+    named = parts.select(F.col(part).alias("part")).distinct().withColumn("len", F.length("part"))
+    lengths = named.select("len").distinct().agg(F.collect_set("len").alias("l")).scalar()
+    sized = wholes.select(F.col(whole).alias("whole")).distinct().withColumn("len", F.explode(lengths)).where("len <= length(whole) AND len > 0")
+    at = F.sequence(F.lit(1), F.length("whole") - F.col("len") + 1)
+    grams = sized.select("whole", "len", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("whole", i, F.col("len"))))).alias("part"))
+    return named.join(grams, ["part", "len"]).select(F.col("part").alias(part), F.col("whole").alias(whole))
+
+
 def line_coverage(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """O-80: (node_id, coverage) of nodes whose file a record matches: hit lines / lines within the node; 0.0 if there is none (Q44).
 
     lines(record, source, line, hits); the first record whose path contains the
     node's path, or is contained in it, counts. Paths are matched once for each
-    distinct pair, by equal base names, before lines are joined.
+    distinct pair, by equal substrings, before lines are joined.
     """
-    base = lambda c: F.substring_index(c, "/", -1)
-    paths = nodes.select("file_path").distinct().withColumn("b", base(F.col("file_path")))
-    records = lines.groupBy("record", "source").agg(F.count("*").alias("_n")).drop("_n").withColumn("b", base(F.col("source")))
-    found = paths.join(records, "b").where(F.col("source").contains(F.col("file_path")) | F.col("file_path").contains(F.col("source")))
-    first = found.groupBy("file_path").agg(F.min("record").alias("record"))
+    paths = nodes.select("file_path").distinct()
+    records = lines.select("record", "source").distinct()
+    found = substring_pairs(paths, "file_path", records, "source").unionByName(substring_pairs(records, "source", paths, "file_path"))
+    first = found.distinct().join(records, "source").groupBy("file_path").agg(F.min("record").alias("record"))
     spans = nodes.select("node_id", "file_path", "start_line", "end_line").join(first, "file_path")
     inside = spans.join(lines, "record", "left")
     hit = (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))

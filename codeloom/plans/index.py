@@ -24,6 +24,7 @@ def index(
     Every changed file is parsed once; its symbols and references come from the
     same pass. References are resolved against all symbols, old and new.
     """
+    postings = catalog.postings()
     nodes, edges, files, embeddings = (cut(catalog.table(t), t) for t in ("nodes", "edges", "files", "embeddings"))
     old_nodes = nodes
     gone = None
@@ -51,6 +52,9 @@ def index(
     if manifests is not None:
         nodes = upsert(nodes.where("kind != 'dependency'"), dependency_nodes(manifests), ["node_id"])
     nodes = catalog.write("nodes", nodes)
+    dependencies = old_nodes.where("kind = 'dependency'").union(nodes.where("kind = 'dependency'")).select("node_id")
+    dropped = old_nodes.join(nodes, "node_id", "left_anti").select("node_id")
+    catalog.refresh_postings(postings, delta.select("node_id").union(dropped).union(dependencies))
 
     refs = refs_of(rows)
     # A parsed file's references replace all edges that leave its symbols.

@@ -13,8 +13,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.search import Postings, occurrences_of, size_of
+from codeloom.plans.textindex import exists, stored_postings, write_by_term
 from codeloom.schemas import TABLES
 
+#: Columns of nodes that full-text search reads.
+TEXT_COLUMNS = ("name", "description")
+
+
+def text_columns() -> dict[str, Column]:
+    return {c: F.col(c) for c in TEXT_COLUMNS}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one only in local mode."""
@@ -77,23 +86,33 @@ def delete_files(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, file
 class Catalog:
     """O-35: the engine's tables under one folder, or empty ones before the first write.
 
+    Without a folder the catalog is in memory only in so far as it ends with the
+    session: it lies in the shared folder under a name of its own.
+
     ``read_only`` refuses writes. Nodes are sorted by id and edges partitioned by
     kind, with a copy sorted by target (O-34), so lookups skip files and row groups
     by their statistics.
     """
 
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+    def __init__(self, spark: SparkSession, root: str | None = None, read_only: bool = False):
+        self.spark, self.read_only = spark, read_only
+        self.root = (root or f"{shared_dir(spark)}/codeloom-catalog-{uuid.uuid4().hex}").rstrip("/")
+        if root is None:
+            fs, jpath = self._fs(self.root)
+            fs.deleteOnExit(jpath)
 
     def _fs(self, path: str):
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
 
     def _pointer(self, name: str) -> str | None:
-        fs, jpath = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(jpath):
+        """The version that the greatest pointer file names; each write adds one, so there is always a whole table."""
+        fs, folder = self._fs(f"{self.root}/{name}")
+        if not fs.exists(folder):
             return None
-        return self.spark.read.text(jpath.toString()).first()[0]
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        pointers = sorted(n for n in names if n.startswith("CURRENT-"))
+        return pointers[-1].split("-", 2)[2] if pointers else None
 
     def table(self, name: str) -> DataFrame:
         version = self._pointer(name)
@@ -123,15 +142,42 @@ class Catalog:
             df.repartitionByRange("node_id").sortWithinPartitions("node_id").write.parquet(path)
         else:
             df.write.parquet(path)
-        fs, new = self._fs(f"{self.root}/{name}/NEXT-{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, current = self._fs(f"{self.root}/{name}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(new, current)
+        # The version is in the pointer's name: creating it is the one step that readers can see.
+        fs, folder = self._fs(f"{self.root}/{name}")
+        old = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(folder)) if n.startswith("CURRENT-"))
+        number = int(old[-1].split("-")[1]) + 1 if old else 1
+        _, new = self._fs(f"{self.root}/{name}/CURRENT-{number:012d}-{version}")
+        fs.create(new, False).close()
+        for n in old[:-1]:
+            fs.delete(self._fs(f"{self.root}/{name}/{n}")[1], False)
         return self.table(name)
 
+    def search_path(self) -> str:
+        """Where the search tables of this version of the nodes are; a read-only catalog without them keeps its own in the shared folder."""
+        version = self._pointer("nodes") or "empty"
+        path = f"{self.root}/search/{version}"
+        if not self.read_only or exists(self.spark, f"{path}/weights"):
+            return path
+        return f"{shared_dir(self.spark)}/codeloom-search-{version}"
+
+    def postings(self) -> Postings:
+        """O-32: the full-text tables of this version of the nodes."""
+        path = f"{self.root}/search/{self._pointer('nodes') or 'empty'}"
+        if self.read_only and not exists(self.spark, f"{path}/occurrences"):
+            path = f"{shared_dir(self.spark)}/codeloom-search-{self._pointer('nodes') or 'empty'}"
+        return stored_postings(self.table("nodes"), "node_id", text_columns(), path)
+
+    def refresh_postings(self, old: Postings, changed: DataFrame) -> Postings:
+        """O-32: the tables of an earlier version without the rows of ``changed(node_id)``, and with the texts these have now."""
+        nodes = self.table("nodes")
+        path = f"{self.root}/search/{self._pointer('nodes')}"
+        ids = changed.select("node_id").distinct()
+        kept = old.occurrences.join(ids, "node_id", "left_anti")
+        fresh = occurrences_of(nodes.join(ids, "node_id", "left_semi"), "node_id", text_columns())
+        write_by_term(kept.unionByName(fresh), f"{path}/occurrences", "node_id")
+        size_of(nodes, text_columns()).write.mode("overwrite").parquet(f"{path}/size")
+        return self.postings()
+
     def views(self) -> None:
         """Temporary views of all tables, for O-21."""
         for name in TABLES:

@@ -6,6 +6,7 @@ names, lines of orders for call edges, orders for two revisions, and so on.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from codeloom.functions.text import cosine, djb2
 from codeloom.operators import changes as ch
 from codeloom.operators import enrich, graph, search, views
 from codeloom.operators.resolve import resolve
-from codeloom.plans import tables
+from codeloom.plans import tables, textindex
 from codeloom.sources import files as sf
 from codeloom.sources import manifests, vcs
 
@@ -339,6 +340,23 @@ def name_resolution_confidence(spark, d):
 
 # --- search ----------------------------------------------------------------------------------------------------------
 
+
+def search_folder(spark: SparkSession, d: str) -> str:
+    """Where this application keeps the search tables of ``d``: like an engine's own, they are made once and serve every search."""
+    return f"{tables.shared_dir(spark)}/codeloom-search-{spark.sparkContext.applicationId}-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+
+
+def doc_postings(spark: SparkSession, d: str) -> search.Postings:
+    return textindex.stored_postings(t(spark, d, "documents"), "doc_id", {"text": F.col("text")}, search_folder(spark, d))
+
+
+def doc_weights(spark: SparkSession, d: str) -> DataFrame:
+    return textindex.stored_weights(t(spark, d, "documents"), "doc_id", F.col("text"), search_folder(spark, d))
+
+
+def top(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", F.round("score", 6))
+
 FTS = """
 toks AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x != '') AS t FROM documents),
 s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks)"""
@@ -365,27 +383,41 @@ TOP = "SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score
 @query(bm25_sql(["license", "released"], f"{has('license')} AND {has('released')}", TOP))
 def fts_bm25(spark, d):
     """O-52, O-53"""
-    return search.full_text(t(spark, d, "documents"), "license released", 20, "doc_id", F.col("text")).withColumn("score", F.round("score", 6))
+    return top(search.full_text(doc_postings(spark, d), "license released", 20))
 
 
 @query(bm25_sql(["the"], has("the"), "SELECT * FROM (SELECT doc_id, lang, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 20) WHERE lang = 'en'"))
 def fts_bm25_kind_after_limit(spark, d):
     """O-55: the filter follows the limit"""
-    docs = t(spark, d, "documents")
-    top = search.full_text(docs, "The", 20, "doc_id", F.col("text")).withColumn("score", F.round("score", 6))
-    return top.join(docs.select("doc_id", "lang"), "doc_id").where("lang = 'en'").select("doc_id", "lang", "score")
+    first = top(search.full_text(doc_postings(spark, d), "The", 20))
+    return first.join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("lang = 'en'").select("doc_id", "lang", "score")
 
 
 @query(bm25_sql(["license", "worthless", "elle"], f"({has('license')} OR ({has('worthless')} AND NOT {has('idiot')}) OR {has('elle')})", TOP))
 def fts_boolean(spark, d):
     """O-54: OR, NOT and implicit AND"""
-    return search.full_text(t(spark, d, "documents"), "license OR (worthless NOT idiot) OR élle", 20, "doc_id", F.col("text")).withColumn("score", F.round("score", 6))
+    return top(search.full_text(doc_postings(spark, d), "license OR (worthless NOT idiot) OR élle", 20))
 
 
 @query(f"""WITH {FTS}, m AS (SELECT doc_id FROM toks WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' mit license ') OR len(list_filter(t, lambda x: starts_with(x, 'apach'))) > 0) SELECT doc_id FROM m""")
 def fts_phrase_prefix(spark, d):
     """O-54: a phrase or a prefix"""
-    return search.full_text(t(spark, d, "documents"), '"MIT license" OR apach*', None, "doc_id", F.col("text")).select("doc_id")
+    return search.full_text(doc_postings(spark, d), '"MIT license" OR apach*', None).select("doc_id")
+
+
+@query(f"""WITH {FTS}, hits AS (SELECT doc_id, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'released') AS r, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'license') AS l FROM toks)
+SELECT doc_id FROM hits WHERE len(list_filter(r, lambda x: len(list_filter(l, lambda y: y != x AND abs(y - x) - 1 <= 3)) > 0)) > 0""")
+def fts_near(spark, d):
+    """O-54: two tokens at most three apart, in a column"""
+    return search.full_text(doc_postings(spark, d), "text : NEAR(released license, 3)", None).select("doc_id")
+
+
+@query(f"""WITH {FTS} SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places, sum(p - 1)::BIGINT AS places FROM (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS p FROM toks) GROUP BY 1""")
+def fts_index_terms(spark, d):
+    """O-32: the full-text index, built anew, by term"""
+    rows = search.occurrences_of(t(spark, d, "documents"), "doc_id", {"text": F.col("text")})
+    by_doc = rows.groupBy("term", "doc_id").agg(F.count("*").alias("c"), F.sum("place").alias("s"))
+    return by_doc.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("c").alias("n_places"), F.sum("s").alias("places"))
 
 
 TFIDF = """
@@ -401,13 +433,14 @@ scores AS (SELECT doc_id, sum(weight * q.tf * q.idf) / (any_value(norm) * (SELEC
 @query(f"WITH {TFIDF} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT 20")
 def tfidf_search(spark, d):
     """O-58, O-60: with a term that no document has"""
-    return search.tfidf_search(t(spark, d, "documents"), "License released zzzz", 20, "doc_id", F.col("text")).withColumn("score", F.round("score", 6))
+    return top(search.tfidf_search(doc_weights(spark, d), "License released zzzz", 20, "doc_id"))
 
 
 @query(f"WITH {TFIDF} SELECT doc_id, round(norm, 6) AS norm FROM norms")
 def tfidf_norms(spark, d):
     """O-56, O-57"""
-    return search.tfidf_index(t(spark, d, "documents"), "doc_id", F.col("text"))[1].withColumn("norm", F.round("norm", 6))
+    weights = search.tfidf_weights(t(spark, d, "documents"), "doc_id", F.col("text"))
+    return weights.groupBy("doc_id").agg(F.round(F.first("norm"), 6).alias("norm"))
 
 
 @query(f"""WITH {FTS.replace('toks', 'ftoks')}, {TFIDF},
@@ -421,7 +454,7 @@ b1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r F
 SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a1 UNION ALL SELECT * FROM b1) GROUP BY 1 ORDER BY sum(1.0 / (60 + r)) DESC, doc_id LIMIT 10""")
 def hybrid_rrf(spark, d):
     """O-59"""
-    return search.hybrid(t(spark, d, "documents"), "license released", 10, "doc_id", F.col("text")).withColumn("score", F.round("score", 6))
+    return top(search.hybrid(doc_postings(spark, d), doc_weights(spark, d), "license released", 10))
 
 
 EMBED = """
@@ -431,13 +464,13 @@ h AS (SELECT word, list_reduce(list_prepend(5381::HUGEINT, list_transform(range(
 sums AS (SELECT doc_id, bucket, sum(tf) AS v FROM tf JOIN h USING (word) GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {EMBED.format(table="benchmark_docs").replace("words AS", "benchmark_docs AS (SELECT item_id AS doc_id, text FROM benchmark), words AS", 1)},
+@query(f"""WITH {EMBED.format(table="documents")},
 norms AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM sums GROUP BY 1)
-SELECT doc_id AS item_id, bucket::INTEGER AS bucket, round(v / norm, 6) AS v FROM sums JOIN norms USING (doc_id)""")
+SELECT doc_id, bucket::INTEGER AS bucket, round(v / norm, 6) AS v FROM sums JOIN norms USING (doc_id)""")
 def embed_hash(spark, d):
     """O-61a, O-61b: the non-zero places of every vector"""
-    vectors = search.hash_embedding(t(spark, d, "benchmark"), "item_id", F.col("text"))
-    return vectors.select("item_id", F.posexplode("embedding").alias("bucket", "v")).where("v != 0").withColumn("v", F.round("v", 6))
+    vectors = search.hash_embedding(t(spark, d, "documents"), "doc_id", F.col("text"))
+    return vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "v")).where("v != 0").withColumn("v", F.round("v", 6))
 
 
 @query(f"""WITH {EMBED.format(table="all_docs").replace("words AS", "all_docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'released under the license'), words AS", 1)},
@@ -448,7 +481,7 @@ def embedding_search(spark, d):
     """O-61d: documents by the cosine of their hashed embeddings with a question's"""
     asked = spark.createDataFrame([("q", "released under the license")], "id string, text string")
     vector = search.hash_embedding(asked, "id", F.col("text")).select("embedding").scalar()
-    stored = search.hash_embedding(t(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
+    stored = textindex.stored_vectors(t(spark, d, "documents"), "doc_id", F.col("text"), search_folder(spark, d))
     return search.nearest(stored, vector, 20, "doc_id").withColumn("score", F.round("score", 6))
 
 
@@ -577,6 +610,18 @@ def test_association(spark, d):
     return found.select(F.col("target_id").alias("target"), F.col("test_id").cast("long").alias("test_id"))
 
 
+@query("""WITH f AS (SELECT p_partkey AS id, p_name || '_test' AS name, CASE WHEN p_size = 1 THEN 'tests/x' ELSE 'src/x' END AS path FROM part WHERE p_type = 'PROMO'),
+s AS (SELECT p_partkey AS target, p_name AS name FROM part WHERE p_partkey IN (3, 50, 77))
+SELECT target, f.id AS test_id FROM s JOIN f ON contains(lower(f.name), lower(s.name)) OR contains(f.path, 'test')""")
+def tests_of_targets(spark, d):
+    """O-79: the tests of stated targets, a row for each target and test"""
+    named = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("node_id"), "p_name", F.col("p_type") == "PROMO", F.when(F.col("p_size") == 1, "tests/x").otherwise("src/x").alias("file_path"))
+    tests = named.where(named[2]).select(F.concat(F.lit("t"), "node_id").alias("node_id"), F.concat("p_name", F.lit("_test")).alias("name"), F.lit("function").alias("kind"), "file_path")
+    nodes = tests.union(named.select("node_id", F.col("p_name").alias("name"), F.lit("part").alias("kind"), "file_path"))
+    found = enrich.tests_of(nodes, ["3", "50", "77"])
+    return found.select(F.col("target_id").cast("long").alias("target"), F.substring("test_id", 2, 20).cast("long").alias("test_id"))
+
+
 @query("""WITH spans AS (SELECT o_orderkey AS span_id, o_orderkey % 9000 AS a, o_orderkey % 9000 + o_custkey % 40 AS b FROM orders)
 SELECT span_id, round(coalesce(count(*) FILTER (WHERE value > 10) / nullif(count(event_id), 0), 0.0), 6) AS coverage FROM spans LEFT JOIN events ON event_id BETWEEN a AND b GROUP BY 1""")
 def range_coverage(spark, d):
@@ -598,6 +643,25 @@ def line_coverage(spark, d):
     return enrich.line_coverage(nodes, lines).withColumn("coverage", F.round("coverage", 6))
 
 
+@query("""WITH f AS (SELECT s_suppkey AS record, s_name AS source, s_nationkey FROM supplier),
+l AS (SELECT o_orderkey % (SELECT count(*) FROM supplier) AS k, o_orderkey % 50 + 1 AS line, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS hits FROM orders),
+s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_name AS source, s_suppkey FROM supplier),
+nodes AS (SELECT s_suppkey AS node_id, source, s_suppkey % 20 + 1 AS a, s_suppkey % 20 + 1 + s_suppkey % 30 AS b FROM s),
+per AS (SELECT node_id, count(line) AS n, count(*) FILTER (WHERE hits > 0) AS h FROM nodes JOIN s USING (source) LEFT JOIN l ON l.k = s.k AND line BETWEEN a AND b GROUP BY 1)
+SELECT node_id, round(CASE WHEN n = 0 THEN 0.0 ELSE h / n END, 6) AS coverage FROM per""")
+def line_coverage_files(spark, d):
+    """O-16, O-80: an lcov file for each supplier with a line for each of its share of the orders, over all of both tables"""
+    suppliers = t(spark, d, "supplier")
+    n = suppliers.agg(F.count("*").alias("n")).scalar()
+    key = suppliers.select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("k"), "s_name", "s_suppkey")
+    lines = t(spark, d, "orders").select((F.col("o_orderkey") % n).alias("k"), F.concat_ws(",", F.concat(F.lit("DA:"), F.col("o_orderkey") % 50 + 1), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)).alias("x"))
+    body = lines.groupBy("k").agg(F.array_join(F.collect_list("x"), "\n").alias("body"))
+    files = key.join(body, "k", "left").select(F.col("s_suppkey").cast("string").alias("path"), F.concat_ws("\n", F.lit("TN:"), F.concat(F.lit("SF:/build/"), "s_name"), "body", F.lit("end_of_record")).alias("content"))
+    start = F.col("s_suppkey") % 20 + 1
+    nodes = suppliers.select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("file_path"), start.alias("start_line"), (start + F.col("s_suppkey") % 30).alias("end_line"))
+    return enrich.line_coverage(nodes, sf.parse_lcov(files)).withColumn("coverage", F.round("coverage", 6))
+
+
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS source_code FROM documents")
 def source_snippet(spark, d):
     """O-17: lines 2 and 3 of every document"""

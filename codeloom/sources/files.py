@@ -42,25 +42,18 @@ def scan_files(spark: SparkSession, root: str, max_kb: int = 1024, ignored: tupl
 
 
 def parse_lcov(text: DataFrame) -> DataFrame:
-    """O-16: text(content) -> (record, source, line, hits). A record is what an SF line begins."""
-    one = text.select(F.transform(F.split("content", "\n"), lambda x: F.trim(x)).alias("lines"))
-    start = F.struct(F.lit(-1).alias("record"), F.lit("").alias("source"))
-    # The state is folded along each file's lines, so no window gathers several files.
-    folded = F.aggregate(
-        F.col("lines"),
-        F.struct(start.alias("at"), F.array().cast("array<struct<record:int,source:string,line:int,hits:long>>").alias("out")),
-        lambda a, x: F.when(x.startswith("SF:"), F.struct(F.struct((a["at"]["record"] + 1).alias("record"), F.substring(x, 4, 1 << 20).alias("source")).alias("at"), a["out"].alias("out")))
-        .when(
-            x.rlike(r"^DA:\d+,\d+"),
-            F.struct(
-                a["at"].alias("at"),
-                F.concat(a["out"], F.array(F.struct(a["at"]["record"].alias("record"), a["at"]["source"].alias("source"), F.regexp_extract(x, r"^DA:(\d+),", 1).cast("int").alias("line"), F.regexp_extract(x, r"^DA:\d+,(\d+)", 1).cast("long").alias("hits")))).alias("out"),
-            ),
-        )
-        .otherwise(a),
-        lambda a: a["out"],
-    )
-    return one.select(F.inline(folded)).where("record >= 0")
+    """O-16: text(content[, path]) -> (record, source, line, hits). A record is what an SF line begins.
+
+    Records are numbered in each file; without paths files are told apart by their
+    content. Texts are cut at their SF lines, so each line is looked at once.
+    """
+    file = F.col("path") if "path" in text.columns else F.sha2("content", 256)
+    # What comes before the first SF line belongs to no record.
+    parts = text.select(file.alias("file"), F.posexplode(F.split("content", r"(?m)^[ \t]*SF:")).alias("number", "part")).where("number > 0")
+    record = F.struct("file", F.col("number").alias("number")).alias("record")
+    rows = parts.select(record, F.trim(F.substring_index("part", "\n", 1)).alias("source"), F.explode(F.split("part", "\n")).alias("x"))
+    rows = rows.select("record", "source", F.trim("x").alias("x")).where(F.col("x").rlike(r"^DA:\d+,\d+"))
+    return rows.select("record", F.regexp_replace("source", "\r$", "").alias("source"), F.regexp_extract("x", r"^DA:(\d+),", 1).cast("int").alias("line"), F.regexp_extract("x", r"^DA:\d+,(\d+)", 1).cast("long").alias("hits"))
 
 
 def parse_skills(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from codeloom.functions.text import cosine
 from codeloom.operators import changes as ch
 from codeloom.operators import enrich, graph, search
 from codeloom.plans import index as ix
-from codeloom.plans.ftsquery import QueryError, parse, terms_of
+from codeloom.plans.ftsquery import Leaf, QueryError, parse, terms_of
 from codeloom.plans.tables import Catalog, merge_edges, upsert
 from codeloom.sources import files as sf
 from codeloom.sources.vcs import Repository
@@ -139,19 +139,25 @@ def test_merges_are_idempotent(spark):
 
 
 def test_query_language(spark):
-    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta alpha"), (3, "Élan alphabet"), (4, None)], "id int, text string")
-    ids = lambda q: sorted(r.id for r in search.full_text(df, q, None, "id", F.col("text")).collect())
-    assert ids("alpha beta") == [1, 2] and ids('"alpha beta"') == [1] and ids("alpha*") == [1, 2, 3] and ids("elan OR gamma") == [1, 3]
-    assert ids("alpha NOT gamma") == [2] and ids("(alpha OR elan) NOT beta") == [3]
-    for bad in ("", "(", "AND", '"x', "a OR", "..."):
+    df = spark.createDataFrame([(1, "alpha beta gamma", "x"), (2, "beta alpha", "gamma delta"), (3, "Élan alphabet", "Dvořák Ωμέγα Alpha"), (4, None, None)], "id int, name string, description string")
+    index = search.postings(df, "id", {"name": F.col("name"), "description": F.col("description")})
+    ids = lambda q: sorted(r.id for r in search.full_text(index, q, None).collect())
+    assert ids("alpha beta") == [1, 2] and ids('"alpha beta"') == [1] and ids("alpha*") == [1, 2, 3] and ids("elan OR gamma") == [1, 2, 3]
+    assert ids("alpha NOT gamma") == [3] and ids("(alpha OR elan) NOT beta") == [3]
+    assert ids("name : gamma") == [1] and ids("description : (gamma OR alpha)") == [2, 3] and ids("{name description} : gamma") == [1, 2] and ids("- name : gamma") == [2]
+    assert ids("beta + gamma") == [1] and ids('"beta gam" *') == [1] and ids("^beta") == [2] and ids("name : ^alpha*") == [1]
+    assert ids("NEAR(alpha gamma)") == [1] and ids("NEAR(alpha gamma, 0)") == [] and ids("NEAR(alpha gamma, 1)") == [1] and ids("NEAR(gamma beta alpha, 1)") == [1]
+    # No phrase spans two columns.
+    assert ids('"alpha gamma"') == [] and ids("NEAR(alpha gamma, 1) OR dvorak") == [1, 3] and ids("dvořák ωμεγα") == [3]
+    for bad in ("", "(", "AND", '"x', "a OR", "...", "nope : a", "NEAR(a b, x)", "{name : a"):
         with pytest.raises(QueryError):
-            parse(bad)
-    assert terms_of(parse("a b a NOT c")) == [("phrase", ["a"]), ("phrase", ["b"])]
+            parse(bad, ("name", "description"))
+    assert terms_of(parse("a b a NOT c")) == [("leaf", Leaf(("a",))), ("leaf", Leaf(("b",)))]
 
 
 def test_bm25_is_the_known_formula(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c d e f")], "id int, text string")
-    got = {r.id: r.score for r in search.full_text(df, "a", None, "id", F.col("text")).collect()}
+    got = {r.id: r.score for r in search.full_text(search.postings(df, "id", {"text": F.col("text")}), "a", None).collect()}
     idf = math.log((3 - 1 + 0.5) / 1.5)
     assert got[1] == pytest.approx(-idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 3)))
 
