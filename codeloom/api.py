@@ -73,7 +73,7 @@ class CodeGraph:
         return search.embedding_status(self.c.table("runs"))
 
     def callers(self, node_id: str, depth: int = 1) -> DataFrame:
-        return graph.callers(self.edges, node_id, max(1, depth))
+        return graph.callers(self.c.incoming(), node_id, max(1, depth))
 
     def callees(self, node_id: str, depth: int = 1) -> DataFrame:
         return graph.callees(self.edges, node_id, max(1, depth))
@@ -82,16 +82,16 @@ class CodeGraph:
         return graph.call_path(self.edges, source, target)
 
     def impacted_symbols(self, node_id: str, depth: int = 10) -> DataFrame:
-        return graph.impacted(self.edges, self.nodes, node_id, max(1, depth))
+        return graph.impacted(self.c.incoming(), self.nodes, node_id, max(1, depth))
 
     def impact_summary(self, node_id: str, depth: int = 2) -> DataFrame:
-        return graph.impact_summary(self.edges, node_id, depth)
+        return graph.impact_summary(self.c.incoming(), node_id, depth)
 
     def bases(self, node_id: str) -> DataFrame:
         return graph.relatives(self.edges, self.nodes, node_id)
 
     def derived(self, node_id: str) -> DataFrame:
-        return graph.relatives(self.edges, self.nodes, node_id, derived=True)
+        return graph.relatives(self.c.incoming(), self.nodes, node_id, derived=True)
 
     def graph_data(self, **filters) -> tuple[DataFrame, DataFrame]:
         return graph.induced(self.nodes, self.edges, **filters)
@@ -134,9 +134,28 @@ class CodeGraph:
         joined = self.nodes.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path")
         return joined.select("node_id", enrich.snippet(F.col("content"), F.col("start_line"), F.col("end_line")).alias("source_code"))
 
-    def tests(self, targets: DataFrame | None = None) -> DataFrame:
-        """(target_id, test_id); a null target stands for every one."""
-        return enrich.test_association(self.nodes, self.nodes if targets is None else targets)
+    def tests(self, targets: list[str]) -> DataFrame:
+        """O-79: (target_id, test_id) of stated targets."""
+        return enrich.tests_of(self.nodes, targets)
+
+    def node_fields(self, node_ids: list[str], contents: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+        """All fields of stated nodes in one row each: sourceCode, tests, coverage, bases and derived beside the columns."""
+        out = self.nodes.where(F.col("node_id").isin(*node_ids))
+        tests = self.tests(node_ids).groupBy(F.col("target_id").alias("node_id")).agg(F.array_sort(F.collect_set("test_id")).alias("tests"))
+        kinds = F.col("kind").isin("inherits_from", "implements")
+        up = self.edges.where(kinds & F.col("from_id").isin(*node_ids)).groupBy(F.col("from_id").alias("node_id")).agg(F.array_sort(F.collect_list("to_id")).alias("bases"))
+        down = self.c.incoming().where(kinds & F.col("to_id").isin(*node_ids)).groupBy(F.col("to_id").alias("node_id")).agg(F.array_sort(F.collect_list("from_id")).alias("derived"))
+        for part in (tests, up, down):
+            out = out.join(part, "node_id", "left")
+        none = F.array().cast("array<string>")
+        out = out.withColumns({c: F.coalesce(c, none) for c in ("tests", "bases", "derived")})
+        if contents is not None:
+            out = out.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+            out = out.withColumn("source_code", enrich.snippet(F.col("content"), F.col("start_line"), F.col("end_line"))).drop("content")
+        if lines is not None:
+            asked = self.nodes.where(F.col("node_id").isin(*node_ids))
+            out = out.join(enrich.line_coverage(asked, lines), "node_id", "left")
+        return out
 
     def coverage(self, lines: DataFrame) -> DataFrame:
         return enrich.line_coverage(self.nodes, lines)
@@ -146,26 +165,60 @@ class CodeGraph:
 
         return revision_graph(files)
 
-    def register(self) -> None:
-        """Views of all tables, and SQL table functions for one-hop walks: SELECT * FROM callees('id')."""
+    def register(self, most: int = 5) -> None:
+        """Views of all tables, and SQL table functions for walks: SELECT * FROM callees('id', 2).
+
+        A row is a node reached, with the fewest steps to it, by up to ``most`` steps.
+        """
         self.c.views()
-        for name, near, far in (("callees", "from_id", "to_id"), ("callers", "to_id", "from_id")):
+        self.c.incoming().createOrReplaceTempView("edges_by_target")
+        for name, table, near, far in (("callees", "edges", "from_id", "to_id"), ("callers", "edges_by_target", "to_id", "from_id")):
+            hop = lambda i: f"SELECT DISTINCT e.{far} AS node, {i} AS depth FROM {table} AS e JOIN l{i - 1} ON e.{near} = l{i - 1}.node WHERE e.kind = 'calls' AND l{i - 1}.depth < {name}.depth"  # noqa: B023, E731
+            steps = [f"l1 AS (SELECT DISTINCT {far} AS node, 1 AS depth FROM {table} WHERE kind = 'calls' AND {near} = {name}.node)", *(f"l{i} AS ({hop(i)})" for i in range(2, most + 1))]
+            union = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(1, most + 1))
             self.c.spark.sql(
-                f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(node STRING) RETURNS TABLE (from_id STRING, to_id STRING, confidence DOUBLE, neighbour STRING) "
-                f"RETURN SELECT from_id, to_id, confidence, {far} FROM edges WHERE kind = 'calls' AND {near} = {name}.node"
+                f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(node STRING, depth INT DEFAULT 1) RETURNS TABLE (neighbour STRING, depth INT) "
+                f"RETURN WITH {', '.join(steps)} SELECT node, min(depth) FROM ({union}) AS x GROUP BY node"
             )
 
-    def call_tool(self, name: str, arguments: dict) -> str:
-        """The agent tools as JSON text: a list of rows (Q52)."""
+    def resource(self, name: str, config=None) -> str:
+        """The resources of the agent interface as text: schema, stats, config."""
+        from dataclasses import asdict
+
+        from codeloom.schemas import TABLES
+        from codeloom.sources.files import Config
+
+        if name == "schema":
+            return "\n".join(f"{table}: {schema.simpleString()}" for table, schema in TABLES.items())
+        if name == "stats":
+            return self.stats().select("node_count", "edge_count", "file_count", "last_git_sha").toJSON().first()
+        if name == "config":
+            return json.dumps(asdict(config or Config()), indent=2)
+        raise KeyError(f"unknown resource {name!r}")
+
+    def call_tool(self, name: str, arguments: dict, root: str = ".", limit: int = 1000) -> str:
+        """The agent tools as JSON text: a list of rows (Q52), at most ``limit`` of them."""
+        from codeloom.plans.index import embed
+        from codeloom.sources.vcs import Repository
+
+        spark = self.c.spark
+
+        def timeline(a: dict) -> DataFrame:
+            nodes, edges = self.timeline(Repository(spark, root).blobs(a.get("git_ref") or "HEAD", [a["file_path"]]))
+            return nodes.select(F.lit("node").alias("row"), F.to_json(F.struct(*nodes.columns)).alias("value")).union(edges.select(F.lit("edge"), F.to_json(F.struct(*edges.columns))))
+
         tools = {
             "get_node": lambda a: self.node(a["node_id"]),
             "search": lambda a: self.search(a["query"], a.get("limit", 20), a.get("kind")),
             "find_callers": lambda a: self.callers(a["node_id"], a.get("depth", 1)),
             "find_callees": lambda a: self.callees(a["node_id"], a.get("depth", 1)),
+            "changed_since": lambda a: self.changed_since(Repository(spark, root).changed_paths(a["git_ref"])),
+            "timeline": timeline,
             "stats": lambda a: self.stats(),
-            "ask": lambda a: self.semantic_search_embeddings(a["question"], limit=a.get("limit", 20)),
-            "query_graph": lambda a: self.c.sql(a["query"], **a.get("parameters", {})),
+            "embed": lambda a: embed(self.c, full=a.get("full", False)).agg(F.count("*").alias("embedded")),
+            "ask": lambda a: self.semantic_search_embeddings(a.get("query") or a["question"], limit=a.get("limit", 20)),
+            "query_graph": lambda a: self.c.sql(a["query"], **(a.get("variables") or a.get("parameters") or {})),
         }
         if name not in tools:
             raise KeyError(f"unknown tool {name!r}")
-        return json.dumps([json.loads(x) for x in tools[name](arguments).toJSON().collect()])
+        return json.dumps([json.loads(x) for x in tools[name](arguments).limit(limit).toJSON().collect()])

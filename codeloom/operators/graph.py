@@ -18,33 +18,40 @@ def incoming(edges: DataFrame, node, kind: str = "calls") -> DataFrame:
     return edges.where((F.col("kind") == kind) & (F.col("to_id") == F.lit(node)))
 
 
-def walk(edges: DataFrame, start, depth: int | None, backwards: bool = False, until=None) -> DataFrame:
-    """O-64, O-65: (from_id, to_id, confidence, depth), one edge for each node reached, of the least parent (Q9).
+def walk_levels(edges: DataFrame, start, depth: int | None, backwards: bool = False, until=None) -> list[DataFrame]:
+    """(node, parent, confidence, depth) by level, level 0 being the start itself.
 
-    One join per level for all its nodes together. The frontier and the nodes seen
-    so far are written each level, so plans stay short and an executor's loss costs
-    a task; the frontier is broadcast only where Spark finds it small enough.
+    One join per level for all its nodes together. Each level is written, so plans
+    stay short and an executor's loss costs a task; a level is broadcast only where
+    Spark finds it small enough.
     """
     spark = edges.sparkSession
     near, far = ("to_id", "from_id") if backwards else ("from_id", "to_id")
     steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far"), "confidence")
     node_type = steps.schema["near"].dataType
     seen = cut(spark.range(1).select(F.lit(start).cast(node_type).alias("node"), F.lit(None).cast(node_type).alias("parent"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("depth")), "seen")
-    frontier, levels, level = seen, [seen], 0
-    while depth is None or level < depth:
-        level += 1
+    frontier, levels = seen, [seen]
+    while depth is None or len(levels) <= depth:
         reached = steps.join(frontier.select(F.col("node").alias("near")), "near").join(seen.select(F.col("node").alias("far")), "far", "left_anti")
         best = reached.groupBy("far").agg(F.min("near").alias("parent"), F.min_by("confidence", "near").alias("confidence"))
-        frontier = cut(best.select(F.col("far").alias("node"), "parent", "confidence", F.lit(level).alias("depth")), "level")
-        if frontier.isEmpty():
+        frontier = cut(best.select(F.col("far").alias("node"), "parent", "confidence", F.lit(len(levels)).alias("depth")), "level")
+        # One look at a level says whether it has rows and whether the goal is among them.
+        met = frontier.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("node") == F.lit(until)), F.lit(False)).alias("met")).first()
+        if not met.n:
             break
         levels.append(frontier)
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-        if until is not None and not frontier.where(F.col("node") == F.lit(until)).isEmpty():
+        seen = seen.unionByName(frontier)
+        if met.met:
             break
-    found = seen.where("depth > 0")
+    return levels
+
+
+def walk(edges: DataFrame, start, depth: int | None, backwards: bool = False) -> DataFrame:
+    """O-64, O-65: (from_id, to_id, confidence, depth), one edge for each node reached, of the least parent (Q9)."""
+    levels = walk_levels(edges, start, depth, backwards)
+    found = levels[0].where("depth > 0")
+    for level in levels[1:]:
+        found = found.unionByName(level)
     ends = (F.col("node"), F.col("parent")) if backwards else (F.col("parent"), F.col("node"))
     return found.select(ends[0].alias("from_id"), ends[1].alias("to_id"), "confidence", "depth")
 
@@ -60,18 +67,17 @@ def callers(edges: DataFrame, node, depth: int = 1, kind: str = "calls") -> Data
 
 
 def call_path(edges: DataFrame, source, target, kind: str = "calls") -> DataFrame:
-    """O-66: (step, from_id, to_id, confidence) of a shortest path; empty if there is none or source is target (Q12)."""
-    spark = edges.sparkSession
-    tree = walk(edges.where(F.col("kind") == kind), source, None, until=target)
-    path, at, steps = [], target, 0
-    rows = tree.where(F.col("to_id") == F.lit(at)).collect() if source != target else []
-    while rows:  # one lookup for each step of the path
-        r = rows[0]
-        path.append((r.depth, r.from_id, r.to_id, r.confidence))
-        steps, at = steps + 1, r.from_id
-        rows = [] if at == source else tree.where(F.col("to_id") == F.lit(at)).collect()
-    types = dict(edges.dtypes)
-    return spark.createDataFrame(path[::-1], f"step int, from_id {types['from_id']}, to_id {types['to_id']}, confidence double")
+    """O-66: (step, from_id, to_id, confidence) of a shortest path; empty if there is none or source is target (Q12).
+
+    From the target back, one row picks up its parent at each level in a chain of
+    joins, which is one plan.
+    """
+    levels = walk_levels(edges.where(F.col("kind") == kind), source, None, until=target)
+    step = F.struct(F.col("depth").cast("int").alias("step"), F.col("parent").alias("from_id"), F.col("node").alias("to_id"), "confidence")
+    row = levels[-1].where((F.col("node") == F.lit(target)) & (F.col("depth") > 0)).select(F.col("parent").alias("at"), F.array(step).alias("path"))
+    for level in reversed(levels[1:-1]):
+        row = row.join(level.withColumnRenamed("node", "at"), "at").withColumn("node", F.col("at")).select(F.col("parent").alias("at"), F.concat(F.array(step), "path").alias("path"))
+    return row.select(F.inline("path"))
 
 
 def impacted(edges: DataFrame, nodes: DataFrame, node, depth: int = 10, kind: str = "calls") -> DataFrame:

@@ -87,20 +87,37 @@ def revision_graph(files: DataFrame, compat: bool = False) -> tuple[DataFrame, D
     return nodes.select("ref", *NODE_COLUMNS), edges
 
 
-def embed(catalog: Catalog, model: str = "local/tfidf", full: bool = True) -> DataFrame:
-    """O-33, O-61b: embeddings of all nodes, and a row for the run (ids count up)."""
+def embed(catalog: Catalog, model: str = "local/tfidf", full: bool = True, parts: int = 1) -> DataFrame:
+    """O-33, O-61b: embeddings of all nodes, or without ``full`` of those that have none of this model.
+
+    The run's row says running, with the nodes done after each of ``parts`` shares of
+    the nodes (by hash), and completed in the end (ids count up).
+    """
     from codeloom.operators.search import model as find
 
     dim, build = find(model)
-    spark, nodes = catalog.spark, catalog.table("nodes")
+    spark, nodes = catalog.spark, catalog.table("nodes").select("node_id", "name", "description")
+    if not full:
+        nodes = nodes.join(catalog.table("embeddings").where(F.col("embedding_model") == model).select("node_id"), "node_id", "left_anti")
+    nodes = cut(nodes, "nodes")
     runs = cut(catalog.table("runs"), "runs")
-    total = nodes.count()
-    last = runs.agg(F.max("id").alias("m")).first().m or 0
-    row = spark.createDataFrame([(last + 1, total, total, "completed")], "id long, total_nodes int, processed_nodes int, status string")
-    text = F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))
+    number = (runs.agg(F.max("id").alias("m")).first().m or 0) + 1
+    total, done = nodes.count(), 0
     start = spark.range(1).select(F.current_timestamp().alias("t")).first().t
-    made = build(nodes.select("node_id", "name", "description"), "node_id", text, dim)
-    fresh = made.select("node_id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(model).alias("embedding_model"), F.current_timestamp().alias("created_at"))
-    catalog.write("embeddings", upsert(cut(catalog.table("embeddings"), "embeddings"), fresh, ["node_id"]))
-    catalog.write("runs", runs.unionByName(row.select("*", F.lit(start).alias("started_at"), F.current_timestamp().alias("completed_at"))))
+
+    def note(status: str) -> None:
+        row = spark.createDataFrame([(number, total, done, status)], "id long, total_nodes int, processed_nodes int, status string")
+        end = F.current_timestamp() if status == "completed" else F.lit(None).cast("timestamp")
+        catalog.write("runs", runs.unionByName(row.select("*", F.lit(start).alias("started_at"), end.alias("completed_at"))))
+
+    text = F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))
+    for part in range(parts):
+        note("running")
+        share = nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(parts)) == part)
+        made = build(share, "node_id", text, dim)
+        fresh = made.select("node_id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(model).alias("embedding_model"), F.current_timestamp().alias("created_at"))
+        fresh = cut(fresh, "fresh")
+        done += fresh.count()
+        catalog.write("embeddings", upsert(cut(catalog.table("embeddings"), "embeddings"), fresh, ["node_id"]))
+    note("completed")
     return catalog.table("embeddings")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,9 @@ def dependency_nodes(manifests: DataFrame) -> DataFrame:
         F.lit("rust").alias("language"), F.col("path").alias("file_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
         F.sha2(F.concat_ws("|", "path", "name"), 256).alias("content_hash"), F.lit(None).cast("string").alias("git_sha"), F.lit(None).cast("string").alias("renamed_from"),
     )
+
+
+def read_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """O-09: (path, content) of the manifests that stand at the root itself."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(PARSERS) + "}").load(root.rstrip("/"))
+    return files.select(F.substring_index("path", "/", -1).alias("path"), F.decode("content", "UTF-8").alias("content"))

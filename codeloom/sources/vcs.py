@@ -7,6 +7,8 @@ import subprocess
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.sources.files import language_of
+
 CHANGES = "path string, status string, old_path string"
 
 
@@ -44,6 +46,13 @@ class Repository:
     def head(self) -> str:
         return self._git("rev-parse", "HEAD").strip()
 
+    def head_or_none(self) -> str | None:
+        """The revision, or nothing outside a repository (O-15)."""
+        try:
+            return self.head()
+        except (OSError, subprocess.CalledProcessError):
+            return None
+
     def dirty(self) -> bool:
         return bool(self._git("status", "--porcelain").strip())
 
@@ -61,10 +70,24 @@ class Repository:
         return parse_porcelain(self._text("status", "--porcelain"))
 
     def blobs(self, ref: str, paths: list[str]) -> DataFrame:
-        """O-14: (ref, path, content) of paths that exist at a revision."""
-        rows = []
+        """O-14: (ref, path, language, content) of paths that exist at a revision, all read by one command."""
+        asked = "".join(f"{ref}:{p}\n" for p in paths).encode()
+        out = subprocess.run(["git", "-C", self.root, "cat-file", "--batch"], input=asked, capture_output=True, check=True).stdout
+        rows, at = [], 0
         for p in paths:
-            got = subprocess.run(["git", "-C", self.root, "show", f"{ref}:{p}"], capture_output=True, text=True)
-            if got.returncode == 0:
-                rows.append((ref, p, got.stdout))
-        return self.spark.createDataFrame(rows, "ref string, path string, content string")
+            end = out.index(b"\n", at)
+            head, at = out[at:end].split(b" "), end + 1
+            if head[-1] == b"missing":
+                continue
+            size = int(head[-1])
+            if head[-2] == b"blob":
+                rows.append((ref, p, out[at : at + size].decode("utf-8", "replace")))
+            at += size + 1
+        made = self.spark.createDataFrame(rows, "ref string, path string, content string")
+        return made.select("ref", "path", language_of(F.col("path")).alias("language"), "content")
+
+    def changed_blobs(self, old: str, new: str) -> DataFrame:
+        """The files between two revisions that differ, at both."""
+        names = [x for line in self._git("diff", "--name-status", f"{old}..{new}").splitlines() for x in line.split("\t")[1:]]
+        found = self.blobs(old, names).union(self.blobs(new, names))
+        return found.where("language IS NOT NULL")

@@ -65,6 +65,11 @@ def test_sql_functions_and_tools(spark, built):
     g = CodeGraph(built[0])
     g.register()
     assert [r.neighbour for r in spark.sql("SELECT * FROM callees('src:a.py:Base:run')").collect()] == ["src:a.py:_:helper"]
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM callers('src:a.py:_:helper', 3)").collect()) == [("src:a.py:Base:run", 1), ("src:b.rs:_:add", 1)]
+    fields = g.node_fields(["src:a.py:_:Child", "src:b.rs:_:add"], spark.createDataFrame([("src/b.rs", RS)], "path string, content string"), sf.parse_lcov(spark.createDataFrame([("SF:src/b.rs\nDA:2,1\n",)], "content string")))
+    rows = {r.node_id: r for r in fields.collect()}
+    assert rows["src:a.py:_:Child"].bases == ["src:a.py:_:Base"] and rows["src:b.rs:_:add"].coverage == 1.0 and "helper(a)" in rows["src:b.rs:_:add"].source_code
+    assert "nodes" in g.resource("schema") and json.loads(g.resource("stats"))["node_count"] == 7 and "roots" in g.resource("config")
     assert built[0].sql("SELECT count(*) AS n FROM nodes WHERE kind = :k", k="class").first().n == 2
     assert json.loads(g.call_tool("get_node", {"node_id": "src:b.rs:_:add"}))[0]["name"] == "add"
     assert json.loads(g.call_tool("find_callers", {"node_id": "x' OR '1'='1"})) == []
@@ -256,3 +261,47 @@ def test_tests_of_nodes(spark, built):
     nodes = spark.createDataFrame([("f", "load", "function", "src/a.py"), ("t", "test_load_twice", "function", "src/b.py"), ("u", "test_other", "function", "tests/c.py"), ("v", "test_none", "class", "src/d.py")], "node_id string, name string, kind string, file_path string")
     got = {(r.target_id, r.test_id) for r in enrich.test_association(nodes, nodes.where("node_id = 'f'")).collect()}
     assert got == {("f", "t"), (None, "u")}  # Q43
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from codeloom.__main__ import main
+
+    root = tmp_path / "code"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.py").write_text(PY)
+    (root / "requirements.txt").write_text("numpy>=1\n")
+    git = lambda *x: subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", "user.email=e@x", *x], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+
+    def run(*args):
+        capsys.readouterr()
+        assert main(["--catalog", str(tmp_path / "catalog"), "--path", str(root), *args], spark) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    run("init")
+    assert run("index")[0]["nodes"] == 5
+    assert run("get", "src:a.py:_:helper")[0]["name"] == "helper" and run("search", "helper", "--hybrid")[0]["name"] == "helper"
+    assert run("callers", "src:a.py:_:helper")[0]["from_id"] == "src:a.py:Base:run" and run("bases", "src:a.py:_:Child")[0]["relation"] == "inherits_from"
+    assert run("call-path", "src:a.py:Base:run", "src:a.py:_:helper")[0]["step"] == 1 and run("dependencies")[0]["name"] == "numpy"
+    assert run("query", "SELECT count(*) AS n FROM nodes")[0]["n"] == 5 and run("stats")[0]["file_count"] == 1
+    assert run("embed", "--full")[0]["embedded"] == 5 and len(run("ask", "helper")) == 5
+    (root / "src" / "a.py").write_text(PY.replace("def helper(a)", "def helper(a, b)"))
+    git("commit", "-qam", "two")
+    assert {r["name"] for r in run("changed", "HEAD~1")} == {"Base", "run", "Child", "helper"}
+    assert [r["change"] for r in run("diff-symbols", "HEAD~1", "HEAD")] == ["SIGNATURE_MODIFIED"]
+    assert {r.get("name") for r in run("timeline", "src/a.py", "--ref", "HEAD~1")} >= {"helper"} and run("models")[0]["dimension"] == 100
+    tools = CodeGraph(Catalog(spark, str(tmp_path / "catalog")))
+    assert len(json.loads(tools.call_tool("changed_since", {"git_ref": "HEAD~1"}, str(root)))) == 4
+    assert {r["row"] for r in json.loads(tools.call_tool("timeline", {"file_path": "src/a.py"}, str(root)))} == {"node", "edge"}
+
+
+def test_catalog_without_a_folder(spark):
+    c = Catalog(spark)
+    ix.index(c, scanned(spark, {"src/a.py": PY}))
+    assert c.table("nodes").count() == 4 and CodeGraph(c).search("helper").count() == 1
+    ix.index(c, scanned(spark, {"src/a.py": PY.replace("def helper", "def other")}))
+    assert CodeGraph(c).search("helper").count() == 0 and CodeGraph(c).search("other").count() == 1
+    ix.embed(c, parts=3)
+    assert CodeGraph(c).embeddings_status().first().processed_nodes == 4 and c.table("embeddings").count() == 4
