@@ -1,19 +1,25 @@
 """Line dedup by content-defined chunks of lines (operator 1).
 
-A rolling hash over the hashes of two consecutive non-blank lines decides where
-a chunk ends, so insertions move borders only nearby; a chunk has at least two
-non-blank lines (fewer only if the document has fewer), and lines left over at
-the end join the last chunk. Chunks of two lines or more that occur more than
-once anywhere are repeats: the first one, by document id and position, stays,
-and every other one whose bytes are equal to the first one's is removed.
+A rolling hash over the hashes of two consecutive non-blank lines decides whether
+the first of them is a border (three of four are), so insertions move borders only
+nearby. A chunk goes from a border to the next one, both lines included, so it has
+two lines at least and depends on nothing outside it but the line after it; a
+document's first and last line are borders in any case. Chunks that occur more than once anywhere are repeats: the first one, by
+document id and position, stays, and the lines of every other one whose bytes are
+equal to the first one's are removed. Chunks are judged on the input: as two
+neighbours share a line, a line goes if either is a repeat, and its first place
+always stays. Of a block of k lines that stands between other lines in two
+documents, some chunk is found in two of five cases for k = 2, in 80 % for 3, 94 %
+for 4 and 99 % for 6, and then most of its lines are removed (test_lines measures).
 
 Only hashes of chunks are grouped over the corpus. Texts are joined by document
 to fetch the bytes of repeated chunks, and once more to cut the removed ones.
 
 Defined results: a null or empty text has no lines and stays as it is (null as
-null); rows that repeat a document (id and text) are the same document and get
-the same result; rows that share only the id are different documents; an empty
-table gives no rows; other columns, whatever their names, pass through.
+null); blank lines go only inside removed chunks; rows that repeat a document (id
+and text) are the same document and get the same result; rows that share only the
+id (or have none) are different documents; an empty table gives no rows; texts of
+any length are cut whole; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -22,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.keys import NULL_ID
 from codeloom.llm.shared import cut, documents
 from codeloom.llm.words import Prefix, mix, runs, table_slices
 
-MODULUS = 2
-MIN_LINES = 2
-NULL_ID = -(1 << 63)
+#: A line is a border unless the rolling hash is 0 modulo this.
+MODULUS = 4
 
 _NOT_NEWLINE = np.ones(256, bool)
 _NOT_NEWLINE[10] = False
@@ -39,58 +45,55 @@ _INK[[9, 10, 11, 12, 13, 32]] = False
 
 
 def chunk_lines(data: np.ndarray, offsets: np.ndarray, modulus: int = MODULUS):
-    """Chunks of a slice: (document, first byte, end byte, lines, hash, second hash), bytes counted from the document's start."""
+    """Chunks of a slice, bytes counted from the document's start, and each document's lines.
+
+    (document, first byte, end byte, first line, end line, hash, second hash), lines by document.
+    """
     starts, ends = runs(_NOT_NEWLINE[data], offsets)
     ink = np.concatenate([[0], np.cumsum(_INK[data])])
     full = ink[ends] > ink[starts]
     starts, ends = starts[full], ends[full]
+    first = np.searchsorted(starts, offsets)
+    lines = np.diff(first)
     p = Prefix(data)
     h = p.ranges(starts, ends)
-    first = np.searchsorted(starts, offsets)
-    rolled = h.copy()
-    rolled[1:] = mix(h[1:] * np.uint64(3) + h[:-1])
-    stop = rolled % np.uint64(modulus) == 0
-    heads: list[int] = []
-    tails: list[int] = []
-    docs: list[int] = []
-    for d in range(len(offsets) - 1):
-        lo, hi = int(first[d]), int(first[d + 1])
-        if lo == hi:
-            continue
-        begin = lo
-        borders = (np.flatnonzero(stop[lo:hi]) + lo + 1).tolist()
-        for b in borders:
-            if b - begin >= MIN_LINES and hi - b >= MIN_LINES:
-                heads.append(begin)
-                tails.append(b - 1)
-                docs.append(d)
-                begin = b
-        heads.append(begin)
-        tails.append(hi - 1)
-        docs.append(d)
-    a, b, doc = np.array(heads, np.int64), np.array(tails, np.int64), np.array(docs, np.int64)
-    if not len(a):
-        return doc, a, a, a, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(lines)), lines)
+    rolled = mix(h[:-1] * np.uint64(3) + h[1:]) % np.uint64(modulus) != 0
+    # The first and last lines of a document are borders whatever they are, so that copies are whole.
+    edge = doc[1:] != doc[:-1]
+    border = np.flatnonzero(np.append(rolled, True) | np.append(edge, True) | np.append(True, edge)) if len(h) else np.zeros(0, np.int64)
+    a, b = border[:-1], border[1:]
+    whole = doc[a] == doc[b]
+    a, b = a[whole], b[whole]
     # The second hash is of the lines' hashes, so that both must collide for unequal chunks to meet.
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
     second = mix(sums[b + 1] - sums[a] + (ends[b] - starts[a]).astype(np.uint64))
-    return doc, starts[a] - offsets[doc], ends[b] - offsets[doc], b - a + 1, p.ranges(starts[a], ends[b]).view(np.int64), second.view(np.int64)
+    d = doc[a]
+    return d, starts[a] - offsets[d], ends[b] - offsets[d], a - first[d], b + 1 - first[d], p.ranges(starts[a], ends[b]).view(np.int64), second.view(np.int64), lines
 
 
-CHUNKS = "doc_id long, text_key long, idx int, start int, end int, lines int, h1 long, h2 long"
+CHUNKS = "doc_id long, text_key long, start int, end int, line int, line_end int, h1 long, h2 long"
 
 
 def scan_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of every document, and a row with its lines in ``line``, its chunks in ``line_end`` and null hashes."""
+    names = ["doc_id", "text_key", "start", "end", "line", "line_end", "h1", "h2"]
     for batch in batches:
         for lo, hi, data, offsets in table_slices(batch, "content"):
-            doc, start, end, lines, h1, h2 = chunk_lines(data, offsets)
+            doc, start, end, line, line_end, h1, h2, lines = chunk_lines(data, offsets)
             at = pa.array(doc)
-            idx = np.arange(len(doc)) - np.searchsorted(doc, doc)
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (idx, start, end, lines)), pa.array(h1), pa.array(h2)],
-                names=["doc_id", "text_key", "idx", "start", "end", "lines", "h1", "h2"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (start, end, line, line_end)), pa.array(h1), pa.array(h2)], names=names)
+            none, n_chunks = pa.nulls(hi - lo, pa.int32()), np.bincount(doc, minlength=hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), none, none, *(pa.array(x.astype(np.int32)) for x in (lines, n_chunks)), *[pa.nulls(hi - lo, pa.int64())] * 2], names=names)
+
+
+def merged(cuts: Column) -> Column:
+    """Runs (start, end, line, line_end) of overlapping chunks of a document, whose starts and ends are both in order."""
+    before = lambda x, i: (i == 0) | (x["start"] >= F.get(cuts, F.greatest(i - 1, F.lit(0)))["end"])
+    after = lambda x, i: (i == F.size(cuts) - 1) | (F.get(cuts, F.least(i + 1, F.size(cuts) - 1))["start"] >= x["end"])
+    begin, end = F.filter(cuts, before), F.filter(cuts, after)
+    return F.zip_with(begin, end, lambda x, y: F.struct(x["start"].alias("start"), y["end"].alias("end"), x["line"].alias("line"), y["line_end"].alias("line_end")))
 
 
 def line_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", scan=scan_chunks) -> DataFrame:
@@ -101,28 +104,32 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", sca
     texts = rows.select("doc_id", "text_key", content.alias("content"))
     chunks = cut(texts.mapInArrow(scan, CHUNKS), "chunks")
 
-    many = chunks.where(F.col("lines") >= MIN_LINES)
-    groups = many.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "idx")).alias("first")).where("n > 1").drop("n")
+    many = chunks.where("h1 IS NOT NULL")
+    groups = many.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1").drop("n")
     # Written first, so that the join's two sides are plain exchanges and a frequent chunk's rows can be split.
     groups = cut(groups, "groups")
-    repeats = many.join(groups, ["h1", "h2"]).select("doc_id", "text_key", "idx", "start", "end", "h1", "h2", "lines", (F.struct("doc_id", "text_key", "idx") == F.col("first")).alias("is_first"))
+    own = F.struct("doc_id", "text_key", "start")
+    repeats = many.join(groups, ["h1", "h2"]).select(*many.columns, (own == F.col("first")).alias("is_first"))
     repeats = cut(repeats.distinct(), "repeats")
 
     # The bytes of repeated chunks: an array per document, no longer than its own list of chunks.
-    wanted = repeats.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("idx", "start", "end", "lines", "h1", "h2", "is_first")).alias("wanted"))
+    fields = ("start", "end", "line", "line_end", "h1", "h2", "is_first")
+    wanted = repeats.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     raw = F.col("content").cast("binary")
     fetched = texts.join(wanted, ["doc_id", "text_key"]).select(
         "doc_id", "text_key",
-        F.inline(F.transform("wanted", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["lines"].alias("lines"), x["h1"].alias("h1"), x["h2"].alias("h2"), x["is_first"].alias("is_first"), F.substring(raw, x["start"] + 1, x["end"] - x["start"]).alias("bytes")))),
+        F.inline(F.transform("wanted", lambda x: F.struct(*[x[c].alias(c) for c in fields], F.substring(raw, x["start"] + 1, x["end"] - x["start"]).alias("bytes")))),
     )
     fetched = cut(fetched, "bytes")
-    # A repeated row brings the first chunk twice, with the same bytes.
-    firsts = fetched.where("is_first").groupBy("h1", "h2").agg(F.min("bytes").alias("first_bytes"))
+    # A repeated row brings the first chunk twice, with the same bytes. Written, so that a frequent chunk's rows can be split here too.
+    firsts = cut(fetched.where("is_first").groupBy("h1", "h2").agg(F.min("bytes").alias("first_bytes")), "firsts")
     removed = fetched.where("NOT is_first").join(firsts, ["h1", "h2"]).where("bytes = first_bytes")
-    removed = removed.select("doc_id", "text_key", "start", "end", "lines").distinct()
+    removed = removed.select("doc_id", "text_key", "start", "end", "line", "line_end").distinct()
 
-    cuts = removed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"), F.count("*").alias("gone"), F.sum("lines").alias("gone_lines"))
-    totals = chunks.distinct().groupBy("doc_id", "text_key").agg(F.count("*").alias("n_chunks"), F.sum("lines").alias("n_lines"))
+    cuts = removed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "line", "line_end"))).alias("chunks"), F.count("*").alias("gone"))
+    cuts = cuts.select("doc_id", "text_key", "gone", merged(F.col("chunks")).alias("cuts"))
+    cuts = cuts.withColumn("gone_lines", F.aggregate("cuts", F.lit(0), lambda a, x: a + x["line_end"] - x["line"]))
+    totals = chunks.where("h1 IS NULL").select("doc_id", "text_key", F.col("line").alias("n_lines"), F.col("line_end").alias("n_chunks")).distinct()
     plan = totals.join(cuts, ["doc_id", "text_key"], "left")
     out = rows.join(plan, ["doc_id", "text_key"], "left")
     raw = F.col("_row")[text].cast("binary")
@@ -139,7 +146,12 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", sca
 
 
 def without_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", count: str = "n_chars") -> DataFrame:
-    """The rows of ``df`` with repeats cut out of ``text`` and ``count`` set anew; documents of which nothing is left go."""
+    """The rows of ``df`` with repeats cut out of ``text`` and ``count`` set anew; documents of which nothing is left go.
+
+    Null and empty texts stay as they are; rows that share id and text get the same
+    result, those that share only the id (or have none) are different documents; an
+    empty table gives no rows; other columns, whatever their names, pass through.
+    """
     done = line_dedup(df, id_column, text).where("n_removed_chunks = 0 OR kept_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     new = {text: F.col("kept_text"), count: F.char_length("kept_text").cast("long")}
     return done.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in df.columns])

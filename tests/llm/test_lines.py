@@ -8,8 +8,8 @@ from codeloom.llm.words import text_buffer
 
 
 def chunks_of(text):
-    doc, start, end, n, h1, h2 = L.chunk_lines(*text_buffer(pa.array([text], pa.string())))
-    return list(zip(start.tolist(), end.tolist(), n.tolist(), strict=True))
+    _, start, end, line, line_end, *_ = L.chunk_lines(*text_buffer(pa.array([text], pa.string())))
+    return list(zip(start.tolist(), end.tolist(), line.tolist(), line_end.tolist(), strict=True))
 
 
 def brute(rows):
@@ -17,20 +17,35 @@ def brute(rows):
     seen, out = set(), {}
     order = sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0])
     for i, t in order:
-        raw, kept, at, gone, lines = (t or "").encode(), b"", 0, 0, 0
-        for a, b, n in chunks_of(t or ""):
+        raw = (t or "").encode()
+        gone, keep, lines = 0, bytearray(b"\1" * len(raw)), set()
+        for a, b, x, y in chunks_of(t or ""):
             piece = raw[a:b]
-            if n >= 2 and piece in seen:
-                kept += raw[at:a]
-                at = min(len(raw), b + 1)
+            if piece in seen:
                 gone += 1
-                lines += n
-            elif n >= 2:
-                seen.add(piece)
-        out[(i, t)] = ((kept + raw[at:]).decode() if t is not None else None, gone, lines)
+                lines.update(range(x, y))
+                # With the line's newline.
+                keep[a : b + 1] = b"\0" * (min(b + 1, len(raw)) - a)
+            seen.add(piece)
+        kept = bytes(c for c, k in zip(raw, keep, strict=True) if k)
+        out[(i, t)] = (kept.decode() if t is not None else None, gone, len(lines))
     return out
 
 
+def test_blocks_between_other_lines_are_found():
+    rng = random.Random(8)
+    for k, least_found, least_lines in ((2, 0.3, 0.3), (3, 0.7, 0.6), (4, 0.88, 0.75), (6, 0.97, 0.85), (12, 0.99, 0.9)):
+        found = lines = 0
+        for _ in range(400):
+            block = [f"b {rng.random()}" for _ in range(k)]
+            sides = [[f"x {rng.random()}" for _ in range(5)] + block + [f"y {rng.random()}" for _ in range(5)] for _ in range(2)]
+            seen = {"\n".join(sides[0])[a:b] for a, b, *_ in chunks_of("\n".join(sides[0]))}
+            got = {n for a, b, x, y in chunks_of("\n".join(sides[1])) if "\n".join(sides[1])[a:b] in seen for n in range(x, y)}
+            found += bool(got)
+            lines += len(got)
+        assert found / 400 >= least_found and lines / 400 / k >= least_lines, (k, found, lines)
+
+
 def corpus(seed):
     rng = random.Random(seed)
     pool = [f"line {i} é {'x' * (i % 7)}" for i in range(40)]
@@ -64,7 +79,7 @@ def test_matches_brute_force(spark):
 def test_unequal_bytes_stay(spark):
     def same_hash(batches):
         for b in L.scan_chunks(batches):
-            zero = pa.array(np.zeros(b.num_rows, np.int64))
+            zero = pa.array(np.zeros(b.num_rows, np.int64), mask=np.asarray(b.column(6).is_null()))
             yield pa.RecordBatch.from_arrays([*b.columns[:6], zero, zero], names=b.schema.names)
 
     df = spark.createDataFrame([(1, "a\nb"), (2, "c\nd"), (3, "a\nb")], "doc_id long, text string")
@@ -75,9 +90,9 @@ def test_unequal_bytes_stay(spark):
 def test_borders_resist_shifts():
     rng = random.Random(4)
     body = [f"row {rng.random()}" for _ in range(300)]
-    a = {"\n".join(body).encode()[x:y] for x, y, _ in chunks_of("\n".join(body))}
+    a = {"\n".join(body).encode()[x:y] for x, y, *_ in chunks_of("\n".join(body))}
     moved = "\n".join([*(f"new {i}" for i in range(5)), *body])
-    b = {moved.encode()[x:y] for x, y, _ in chunks_of(moved)}
+    b = {moved.encode()[x:y] for x, y, *_ in chunks_of(moved)}
     assert len(a & b) > 0.9 * len(a)
 
 
