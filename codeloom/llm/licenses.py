@@ -1,20 +1,22 @@
 """License scans by Dice coefficient over word bigrams (operator 2).
 
 A template is a set of word bigrams; a passage matches it when
-2 |A & B| / (|A| + |B|) reaches the threshold. The coefficient can only reach it
-for set sizes between t / (2 - t) and (2 - t) / t times the template's, which
-prunes templates (and passages) before any intersection is taken.
-
-Passages of a document are its runs of consecutive lines (single lines too) that
-begin and end where a template's bigram does, grown line by line to the largest
-size that a template allows. Bigrams of whole slices of text are looked
-up at once; only documents that share a bigram with a template are looked at
-further. Templates are parameters of a checked size; documents never move.
+2 |A & B| / (|A| + |B|) reaches the threshold t. That needs t / (2 - t) of the
+template's bigrams in the passage, and a passage of at most (2 - t) / t times the
+template's size: these bounds prune templates for a document and passages for a
+template before any coefficient is taken.
+
+Passages of a document are its word windows, wherever they lie in lines, that
+begin and end with a bigram of the template (a longer one has a smaller
+coefficient). Bigrams of whole slices of text are looked up at once; the templates
+of which a document holds enough bigrams are found in one count, and only their
+windows are looked at: for each beginning, distinct bigrams up to every end are
+running sums. Templates are parameters of a checked size; documents never move.
 
 Defined results: a null or empty text has no match; equal scores go to the
 longer passage, then to the template first by name, then to the earlier place;
-repeated rows are judged each on its own; an empty table gives no rows; other
-columns are never read.
+repeated rows are judged each on its own; an empty table gives no rows; texts of
+any length are scanned whole; other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,31 +30,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.shared import documents
+from codeloom.llm.suffix import ragged
 from codeloom.llm.words import mix, scan_words, table_slices, text_buffer
 
 THRESHOLD = 0.8
 MOST_TEMPLATE_BYTES = 8 << 20
 
-#: Short licence statements (fixed values: the usual wordings, by SPDX name).
+#: Licence statements, notices and short licence texts (fixed values: the usual wordings, by SPDX name). ``read_templates`` takes others.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "MIT-text": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "BSL-1.0": [
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the 3-Clause BSD License."],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the 3-Clause BSD License."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -65,11 +84,12 @@ TEMPLATES = {
 @dataclass
 class Templates:
     names: list[str]  # one for each template text, sorted
-    sets: list[np.ndarray]  # ids of bigrams
     sizes: np.ndarray
     bigrams: np.ndarray  # sorted hashes of all templates' bigrams
-    low: int  # least and largest set size of any passage that can match
-    high: int
+    inside: np.ndarray  # templates x bigrams: whether a template has one
+    holders: tuple[np.ndarray, np.ndarray]  # of each bigram: where its templates begin in a list of templates
+    need: np.ndarray  # how many of a template's bigrams a match has at least
+    most: np.ndarray  # how many bigrams it has at most
     threshold: float
 
 
@@ -90,62 +110,105 @@ def load_templates(templates: dict[str, list[str]], threshold: float) -> Templat
     w = scan_words(*text_buffer(pa.array([t for _, t in pairs], pa.string())))
     h = bigrams_of(w)
     known = np.unique(h[h > 0])
-    sets = [np.searchsorted(known, np.unique(x[x > 0])) for x in (h[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True))]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    most = sizes.max(initial=0)
-    return Templates([n for n, _ in pairs], sets, sizes, known, int(np.ceil(sizes[sizes > 0].min(initial=1) * threshold / (2 - threshold))), int(most * (2 - threshold) / threshold), threshold)
-
-
-def match(t: Templates, ids: np.ndarray, unknown: int, cache: dict) -> list[tuple[float, int]]:
-    """(dice, template) of all templates that a passage matches; ids: its template bigrams, unknown: how many other ones it has."""
-    key = (ids.tobytes(), unknown)
-    if key not in cache:
-        mine = np.unique(ids)
-        size = len(mine) + unknown
-        out = []
-        ratio = t.threshold / (2 - t.threshold)
-        for i in np.flatnonzero((t.sizes >= ratio * size) & (t.sizes * ratio <= size)).tolist():
-            dice = 2 * len(np.intersect1d(mine, t.sets[i], assume_unique=True)) / (size + int(t.sizes[i]))
-            if dice >= t.threshold:
-                out.append((dice, i))
-        if len(cache) > 20_000:
-            cache.clear()
-        cache[key] = out
-    return cache[key]
-
-
-def scan_document(t: Templates, h: np.ndarray, ids: np.ndarray, lines: np.ndarray, cache: dict) -> list[tuple[str, float, int, int]]:
-    """Best passage of each licence name: (name, dice, first line, end line); lines: word positions where lines begin, then the end."""
-    n = len(lines) - 1
-    at = np.flatnonzero(ids >= 0)  # second words of template bigrams
-    heads = np.unique(np.searchsorted(lines, at - 1, "right") - 1).tolist()
-    hot = set((np.searchsorted(lines, at, "right") - 1).tolist())
-    best: dict[str, tuple] = {}
-    for k in heads:
-        end = k
-        while end < n:
-            # Runs begin and end at lines that hold a word of a template's bigram.
-            a, b = lines[k], lines[end + 1]
-            if end in hot:
-                # A bigram across a line break belongs to the run, one that reaches before its first word does not.
-                part, own = h[a + 1 : b], ids[a + 1 : b]
-                unknown = len(np.unique(part[(own < 0) & (part > 0)]))
-                for dice, i in match(t, own[own >= 0], unknown, cache):
-                    rank = (-round(dice, 12), -(b - a), t.names[i], k)
-                    if t.names[i] not in best or rank < best[t.names[i]][0]:
-                        best[t.names[i]] = (rank, (t.names[i], dice, k, end + 1))
-            if b - a > t.high and len(np.unique(h[a + 1 : b])) > t.high:
+    inside = np.zeros((len(pairs), len(known)), bool)
+    for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+        inside[i, np.searchsorted(known, h[a:b][h[a:b] > 0])] = True
+    sizes = inside.sum(1)
+    bigram, template = np.nonzero(inside.T)
+    # A little slack, so that rounding never decides.
+    need = np.maximum(1, np.ceil(sizes * threshold / (2 - threshold) - 1e-9)).astype(np.int64)
+    most = np.floor(sizes * (2 - threshold) / threshold + 1e-9).astype(np.int64)
+    return Templates([n for n, _ in pairs], sizes, known, inside, (np.searchsorted(bigram, np.arange(len(known) + 1)), template), need, most, threshold)
+
+
+def read_templates(table: DataFrame, name: str = "name", text: str = "text") -> dict[str, list[str]]:
+    """Templates from a table (full licence texts, say), whose size is checked before it is read."""
+    size = table.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    if size > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"templates exceed {MOST_TEMPLATE_BYTES} bytes; scan with parts of them")
+    out: dict[str, list[str]] = {}
+    for r in table.select(F.col(f"`{name}`").alias("n"), F.col(f"`{text}`").alias("t")).where("n IS NOT NULL AND t IS NOT NULL").collect():
+        out.setdefault(r.n, []).append(r.t)
+    return out
+
+
+def windows(t: Templates, i: int, h: np.ndarray, ids: np.ndarray, before: np.ndarray) -> Iterator[tuple[float, int, int]]:
+    """(dice, first word, end word) of the best window of template i from each beginning that matches at all.
+
+    h, ids: bigrams of a document by their second words, ids -1 where no template has
+    it; before: where the same bigram stood last.
+    """
+    own = np.zeros(len(ids), bool)
+    known = np.flatnonzero(ids >= 0)
+    own[known] = t.inside[i, ids[known]]
+    at = np.flatnonzero(own)
+    need, most, size, n = int(t.need[i]), int(t.most[i]), int(t.sizes[i]), len(h)
+    for k, x in enumerate(at.tolist()):
+        if len(at) - k < need:
+            break
+        end = min(n, x + most + 1)
+        while True:
+            fresh = before[x:end] < x
+            different = np.cumsum(fresh)
+            if different[-1] > most or end == n:
                 break
-            end += 1
+            end = min(n, end + max(64, end - x))  # what repeats does not count
+        stop = int(np.searchsorted(different, most, "right"))
+        shared = np.cumsum(fresh[:stop] & own[x : x + stop])
+        if not stop or shared[-1] < need:
+            continue
+        dice = np.where(own[x : x + stop], 2 * shared / (different[:stop] + size), 0.0)
+        top = dice.max()
+        if top >= t.threshold - 1e-12:
+            y = int(np.flatnonzero(dice >= top - 1e-12)[-1])
+            yield float(top), x - 1, x + y + 1
+
+
+def scan_document(t: Templates, which: list[int], h: np.ndarray, ids: np.ndarray, lines: np.ndarray) -> list[tuple[str, float, int, int, int, int]]:
+    """Best passage of each licence name: (name, dice, first line, end line, first word, end word); lines: word positions where lines begin."""
+    _, same = np.unique(h, return_inverse=True)
+    order = np.lexsort((np.arange(len(h)), same))
+    before = np.full(len(h), -1, np.int64)
+    again = same[order][1:] == same[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    # A first word has no bigram: it never counts as a new one.
+    before[0] = len(h)
+    best: dict[str, tuple] = {}
+    for i in which:
+        for dice, a, b in windows(t, i, h, ids, before):
+            rank = (-round(dice, 12), -(b - a), t.names[i], a)
+            if t.names[i] not in best or rank < best[t.names[i]][0]:
+                first, last = int(np.searchsorted(lines, a, "right")) - 1, int(np.searchsorted(lines, b - 1, "right")) - 1
+                best[t.names[i]] = (rank, (t.names[i], dice, first, last + 1, a, b))
     return [x for _, x in sorted(best.values())]
 
 
-SCHEMA = "doc_id long, n_words long, license string, dice double, n_licenses long, first_line long, end_line long, matches array<struct<license:string,dice:double,first_line:long,end_line:long>>"
-_MATCH = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int64()), ("end_line", pa.int64())]))
+_PLACES = ("first_line", "end_line", "first_word", "end_word")
+SCHEMA = (
+    "doc_id long, n_words long, license string, dice double, n_licenses long, first_line long, end_line long, first_word long, end_word long, "
+    "matches array<struct<license:string,dice:double,first_line:long,end_line:long,first_word:long,end_word:long>>"
+)
+_MATCH = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), *[(c, pa.int64()) for c in _PLACES]]))
+
+
+def candidates(t: Templates, ids: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+    """(document, template) wherever a document has as many different bigrams of a template as a match needs."""
+    at = np.flatnonzero(ids >= 0)
+    if not len(at):
+        return []
+    doc = np.searchsorted(first, at, "right") - 1
+    pair = np.unique(doc * len(t.bigrams) + ids[at])
+    doc, bigram = np.divmod(pair, len(t.bigrams))
+    begin, templates = t.holders
+    n = begin[bigram + 1] - begin[bigram]
+    template = templates[ragged(begin[bigram], n)]
+    both, count = np.unique(np.repeat(doc, n) * len(t.names) + template, return_counts=True)
+    doc, template = np.divmod(both, len(t.names))
+    enough = count >= t.need[template]
+    return list(zip(doc[enough].tolist(), template[enough].tolist(), strict=True))
 
 
 def scan(batches: Iterator[pa.RecordBatch], t: Templates) -> Iterator[pa.RecordBatch]:
-    cache: dict = {}
     for batch in batches:
         for lo, hi, data, offsets in table_slices(batch, "content"):
             n = hi - lo
@@ -154,26 +217,26 @@ def scan(batches: Iterator[pa.RecordBatch], t: Templates) -> Iterator[pa.RecordB
             ids = np.full(len(h), -1, np.int64)
             if len(h) and len(t.bigrams):
                 at = np.minimum(np.searchsorted(t.bigrams, h), len(t.bigrams) - 1)
-                known = t.bigrams[at] == h
+                known = (t.bigrams[at] == h) & (h > 0)
                 ids[known] = at[known]
-            count = np.concatenate([[0], np.cumsum(ids >= 0)])
-            hits = count[w.first[1:]] - count[w.first[:-1]]
             newline = np.flatnonzero(data == 10)
             found: list[list] = [[] for _ in range(n)]
-            # A match shares at least half of t / (2 - t) times the least template size with its template.
-            for d in np.flatnonzero(hits >= max(1, int(np.ceil(t.low * t.threshold / 2)))).tolist():
+            by_doc: dict[int, list[int]] = {}
+            for d, i in candidates(t, ids, w.first):
+                by_doc.setdefault(d, []).append(i)
+            for d, which in by_doc.items():
                 a, b = int(w.first[d]), int(w.first[d + 1])
                 breaks = newline[np.searchsorted(newline, offsets[d]) : np.searchsorted(newline, offsets[d + 1])]
-                lines = np.concatenate([[0], np.searchsorted(w.starts[a:b], breaks), [b - a]])
-                found[d] = scan_document(t, h[a:b], ids[a:b], lines, cache)
-            top = [x[0] if x else (None, 0.0, None, None) for x in found]
-            listed = [[{"license": m[0], "dice": m[1], "first_line": m[2], "end_line": m[3]} for m in x] for x in found]
+                lines = np.concatenate([[0], np.searchsorted(w.starts[a:b], breaks)])
+                found[d] = scan_document(t, which, h[a:b], ids[a:b], lines)
+            top = [x[0] if x else (None, 0.0, None, None, None, None) for x in found]
+            listed = [[dict(zip(("license", "dice", *_PLACES), m, strict=True)) for m in x] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, n), pa.array(w.counts), pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.float64()), pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([x[2] for x in top], pa.int64()), pa.array([x[3] for x in top], pa.int64()), pa.array(listed, _MATCH),
+                    *(pa.array([x[i] for x in top], pa.int64()) for i in range(2, 6)), pa.array(listed, _MATCH),
                 ],
-                names=["doc_id", "n_words", "license", "dice", "n_licenses", "first_line", "end_line", "matches"],
+                names=["doc_id", "n_words", "license", "dice", "n_licenses", *_PLACES, "matches"],
             )
 
 

@@ -15,20 +15,47 @@ def bigrams(w):
 
 
 def brute(text, threshold=0.8):
-    """Best (dice, name) over all runs of lines, without any pruning."""
-    lines = (text or "").split("\n")
+    """Best dice by name over all windows of words, without any pruning."""
+    w = words(text or "")
     temps = [(n, bigrams(words(t))) for n, ts in L.TEMPLATES.items() for t in ts]
+    known = set().union(*(t for _, t in temps))
     best = {}
-    for i in range(len(lines)):
-        for j in range(i + 1, len(lines) + 1):
-            b = bigrams(words("\n".join(lines[i:j])))
-            for n, t in temps:
-                dice = 2 * len(b & t) / (len(b) + len(t)) if b or t else 0
-                if dice >= threshold:
+    for i in range(len(w) - 1):
+        if (w[i], w[i + 1]) not in known:
+            continue
+        inside, shared = set(), [0] * len(temps)
+        for j in range(i + 1, len(w)):
+            x = (w[j - 1], w[j])
+            if x in inside:
+                continue
+            inside.add(x)
+            for k, (n, t) in enumerate(temps):
+                shared[k] += x in t
+                dice = 2 * shared[k] / (len(inside) + len(t))
+                if dice >= threshold - 1e-12:
                     best[n] = max(best.get(n, 0), dice)
+            if len(inside) > 250:
+                break
     return {n: round(d, 9) for n, d in best.items()}
 
 
+def test_statements_inside_lines_are_found(spark):
+    fill = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, f"{fill} This project is licensed under the MIT License - see the LICENSE file for details. {fill}", "MIT"),
+        (2, f"{fill} {L.TEMPLATES['MIT-text'][0]} {fill}", "MIT-text"),
+        (3, f"a GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n{fill}", "GPL-3.0"),
+        (4, "Released under the MIT License. " * 300, "MIT"),
+        (5, f"{fill} the license of this software is of the public {fill}", None),
+    ]
+    got = {r.doc_id: r for r in L.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: got[i].license for i, _, _ in rows} == {i: x for i, _, x in rows}
+    assert (got[1].first_word, got[1].end_word) == (40, 48) and got[1].dice == 1.0
+    # Licences in a table are templates like the built-in ones.
+    t = L.read_templates(spark.createDataFrame([("Own-1", f"{fill} of our own")], "name string, text string"))
+    assert L.license_scan(spark.createDataFrame([(1, "x " + fill)], "doc_id long, text string"), t).first().license == "Own-1"
+
+
 def test_matches_brute_force(spark):
     rng = random.Random(8)
     flat = [t for ts in L.TEMPLATES.values() for t in ts]
