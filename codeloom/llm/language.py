@@ -1,22 +1,24 @@
 """Language identification with string kernels (operator 8).
 
 Kernel: blended spectrum of presence. phi(x) marks which byte n-grams of 1 to 3
-bytes occur in the lower-cased text, over a dictionary learnt from the landmarks,
-and k(x, y) = <phi(x), phi(y)> / sqrt(|phi(x)| |phi(y)|). The kernel is
+bytes occur in the lower-cased text, over all those that two landmarks or more have
+(one, with few landmarks), and k(x, y) = <phi(x), phi(y)> / sqrt(|phi(x)| |phi(y)|). The kernel is
 approximated by Nystroem features on landmark documents, and one-versus-rest
 ridge regressions are fitted on those features. The regression weights are folded
 into the landmark matrix once (the product is associative), so that a batch of
 documents is scored by one product of its presence matrix with a matrix of
 n-grams by languages.
 
-Fitting uses a bounded sample of labelled rows (FIT_ROWS in all, by the smallest
-hashes of their ids and texts, of texts of at most FIT_CHARS); every document is
-predicted from its whole text.
+Fitting uses a bounded sample of labelled rows: FIT_ROWS in all, or four for each
+language if that is more, alike for all languages, with the smallest hashes of ids
+and texts, of texts of at most FIT_CHARS. Every language is learnt and every
+document is predicted from its whole text.
 
 Defined results: lang_pred is ``und`` with score 0 if the text is null, empty or
-has no letter, or if nothing could be learnt; repeated rows give a row each; an
-empty table gives no rows; other columns are never read. With one language in
-the training rows, it is predicted everywhere.
+has no letter, or if nothing could be learnt; of equal scores the
+language first by name is taken; repeated rows give a row each; rows without an id
+are held out; an empty table gives no rows; other columns are never read. With one
+language in the training rows, it is predicted everywhere.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +40,37 @@ FIT_ROWS = 1600
 FIT_CHARS = 20_000
 LANDMARKS = 400
 RIDGE = 1e-3
-MAX_GRAMS = 16_000
+#: Documents scored by one product.
+SCORE_ROWS = 256
 TEMPERATURE = 8.0
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # n-gram code -> column + 1, for 1-, 2- and 3-grams one after the other
+    grams: np.ndarray  # sorted codes of the n-grams, a column each
     weights: np.ndarray  # columns x languages
     bias: np.ndarray
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        return column_table(self.grams)
 
-#: Where the codes of 1-, 2- and 3-grams begin. A 3-gram is folded to 21 bits.
+    def __getstate__(self):
+        # The table is made anew in each worker.
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+
+#: Where the codes of 1-, 2- and 3-grams begin.
 _AT = (0, 1 << 8, (1 << 8) + (1 << 16))
-_CODES = _AT[2] + (1 << 21)
+_CODES = _AT[2] + (1 << 24)
+
+
+def column_table(grams: np.ndarray) -> np.ndarray:
+    """n-gram code -> column + 1, or 0."""
+    table = np.zeros(_CODES, np.uint16 if len(grams) < 1 << 16 else np.uint32)
+    table[grams] = np.arange(1, len(grams) + 1)
+    return table
 
 
 def gram_codes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -65,7 +84,6 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     if len(low) > 2:
         same = doc[2:] == doc[:-2]
         code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
-        code = (code.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(11)).astype(np.int32)
         out.append((code[same] + _AT[2], doc[2:][same]))
     return out
 
@@ -83,7 +101,7 @@ def presence(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, columns:
     return x
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, max_grams: int = MAX_GRAMS) -> Model | None:
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Fit on (text, language) rows in the order given."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
@@ -98,10 +116,8 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
         values, n = np.unique(pair // len(marks), return_counts=True)
         seen |= dict(zip(values.tolist(), n.tolist(), strict=True))
     least = 2 if len(marks) > 8 else 1
-    grams = sorted((g for g, n in seen.items() if n >= least), key=lambda g: (-seen[g], g))[:max_grams]
-    table = np.zeros(_CODES, np.uint16)
-    table[np.array(sorted(grams), np.int64)] = np.arange(1, len(grams) + 1)
-    columns = len(grams)
+    grams = np.array(sorted(g for g, n in seen.items() if n >= least), np.int64)
+    table, columns = column_table(grams), len(grams)
 
     def features(texts: list[str]) -> Iterator[np.ndarray]:
         d, o = text_buffer(pa.array(texts, pa.string()))
@@ -120,7 +136,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     mean, target = weight @ z, weight @ y
     zc = z - mean
     w = np.linalg.solve((zc * weight[:, None]).T @ zc + ridge * np.eye(z.shape[1]), (zc * weight[:, None]).T @ (y - target))
-    return Model(languages, table, (mark_x.T.astype(np.float64) @ (project @ w)).astype(np.float32), (target - mean @ w).astype(np.float32))
+    return Model(languages, grams, (mark_x.T.astype(np.float64) @ (project @ w)).astype(np.float32), (target - mean @ w).astype(np.float32))
 
 
 def held_out(doc_id) -> bool:
@@ -137,8 +153,8 @@ def predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
             names = np.full(n, "und", object)
             score = np.zeros(n)
             if m is not None:
-                for a in range(0, n, 512):  # bounds the presence matrix where texts are short
-                    b = min(n, a + 512)
+                for a in range(0, n, SCORE_ROWS):  # bounds the presence matrix where texts are short
+                    b = min(n, a + SCORE_ROWS)
                     x = presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], m.table, len(m.weights))
                     f = x @ m.weights + m.bias
                     e = np.exp(TEMPERATURE / 2 * (f - f.max(1, keepdims=True)))
@@ -153,15 +169,16 @@ def sample_rows(labelled: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, st
     """At most ``rows`` of (content, lang), alike for each language, in a fixed order; ``labelled`` has doc_id too."""
     eligible = labelled.where(F.col("content").isNotNull() & (F.char_length("content") <= FIT_CHARS))
     h = F.xxhash64("doc_id", "content")
-    counts = {r.lang: r["count"] for r in eligible.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not counts:
+    counts = eligible.groupBy("lang").count()
+    n = counts.count()
+    if not n:
         return []
-    share = max(4, rows // len(counts))
+    share = max(4, rows // n)
     # A hash threshold per language takes about one and a half times its share; the driver keeps the smallest hashes.
-    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * share / n)))])
-    taken = eligible.withColumn("h", h).where((F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)) < rates[F.col("lang")])
-    got = taken.select("h", "content", "lang").orderBy("h", "content", "lang").limit(4 * rows + 64).collect()
-    out: dict[str, list] = {lang: [] for lang in counts}
+    rates = counts.select("lang", F.least(F.lit(1.0), 1.5 * share / F.col("count")).alias("rate"))
+    near = eligible.withColumn("h", h).withColumn("u", F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)).join(rates, "lang")
+    got = near.where("u < rate OR rate = 1").select("h", "content", "lang").orderBy("h", "content", "lang").collect()
+    out: dict[str, list] = {r.lang: [] for r in got}
     for r in got:
         if len(out[r.lang]) < share:
             out[r.lang].append((r.content, r.lang))

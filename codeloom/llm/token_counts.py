@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.keys import NULL_ID
 from codeloom.llm.pieces import PieceCache, blanks_part, piece_starts
-from codeloom.llm.shared import cut, documents, new_path
+from codeloom.llm.shared import cut, documents, new_path, small_batches
 from codeloom.llm.words import table_slices, text_buffer
 
 LIMIT = 2048
@@ -134,24 +135,43 @@ def read_cache(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(df: DataFrame, path: str, cache: str, id_column: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit; appends what it had to encode to the table ``cache``."""
-    spark, version = df.sparkSession, tokenizer_digest(path)
+def digested(df: DataFrame, path: str, id_column: str, text: str) -> DataFrame:
+    """(doc_id, n_bytes, content, digest) of every row."""
     content = normalised(F.col(f"`{text}`"), path)
     rows = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("n_bytes"), content.alias("content"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    return rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
+
+
+def append_counts(df: DataFrame, path: str, cache: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts of all contents that the table ``cache`` lacks go there; (doc_id, n_bytes, digest) of every row."""
+    spark, version = df.sparkSession, tokenizer_digest(path)
+    rows = digested(df, path, id_column, text)
     keys = cut(rows.select("doc_id", "n_bytes", "digest"), "digests")
     # A null id is a representative like any other: it is compared as the least one.
-    least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    least = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+    if not keys.groupBy("digest", "doc_id").count().where("count > 1").isEmpty():
+        # Repeated rows meet in map tasks first, so that each content is encoded once and none fills a task.
+        rows = rows.groupBy("digest", "doc_id").agg(F.first("content").alias("content"))
     misses = keys.groupBy("digest").agg(F.min(least).alias("least")).join(read_cache(spark, cache, version), "digest", "left_anti")
     picked = rows.withColumn("least", least).join(misses, ["digest", "least"], "left_semi").select("digest", "content")
     encoded = picked.mapInArrow(encode_misses(path), "digest binary, n_tokens long")
-    encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    with small_batches(spark):
+        encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    return keys
+
+
+def count_tokens(df: DataFrame, path: str, cache: str, id_column: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit; appends what it had to encode to the table ``cache``."""
+    spark = df.sparkSession
+    keys = append_counts(df, path, cache, id_column, text)
     # Written first, so that the join's two sides are plain exchanges and a frequent text's rows can be split.
-    joined = keys.join(cut(read_cache(spark, cache, version), "counts"), "digest")
+    joined = keys.join(cut(read_cache(spark, cache, tokenizer_digest(path)), "counts"), "digest")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache of its own: every distinct text of the table is a miss and is encoded."""
-    return count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), new_path(spark, "token-cache"))
+    """The whole table in two deliveries over one cache, which is empty before: half of the documents (by the hash of
+    their ids) come first, and when all of them come, theirs and their copies' counts are found in it."""
+    docs, path, cache = documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), new_path(spark, "token-cache")
+    append_counts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), path, cache)
+    return count_tokens(docs, path, cache)

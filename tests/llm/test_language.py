@@ -51,6 +51,55 @@ def test_folded_weights_equal_kernel_scores():
     assert np.allclose(k, x @ lx.T, atol=1e-5)
 
 
+def test_scores_equal_brute_force(spark):
+    """Kernel matrices of Python sets, the Nystroem features' ridge regression in its dual form, and the scores of the whole operator."""
+    rows = make(260, seed=4) + [(900, "Tun MI ba", "aa", "")]
+    train = [(i, t, x) for i, t, x, _ in rows if not L.held_out(i)]
+    # All training rows are in the sample; the operator sorts them by language, then by hash.
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    sample = L.sample_rows(df.select("doc_id", "lang", df.text.alias("content")).where(df.doc_id.isin([i for i, _, _ in train])))
+    assert sorted(sample) == sorted((t, x) for _, t, x in train)
+    names = sorted({x for _, x in sample})
+    marks = [t for x in names for t in [s for s, y in sample if y == x][: L.LANDMARKS // len(names)]]
+
+    def grams(t):
+        b = t.encode().lower() if t.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    seen = {}
+    for m in marks:
+        for g in grams(m):
+            seen[g] = seen.get(g, 0) + 1
+    known = {g for g, n in seen.items() if n >= 2}
+
+    def kernel(xs, ys):
+        a, b = [grams(x) & known for x in xs], [grams(y) & known for y in ys]
+        return np.array([[len(x & y) / max(1, len(x) * len(y)) ** 0.5 for y in b] for x in a])
+
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    good = values > 1e-6 * values[-1]
+    project = vectors[:, good] / np.sqrt(values[good])
+    texts = [t for t, _ in sample]
+    z = kernel(texts, marks) @ project
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for _, x in sample])
+    p = np.array([1 / sum(v == x for _, v in sample) for _, x in sample])
+    p = p / p.sum()
+    root = np.sqrt(p)[:, None]
+    zc, yc = root * (z - p @ z), root * (y - p @ y)
+    w = zc.T @ np.linalg.solve(zc @ zc.T + L.RIDGE * np.eye(len(zc)), yc)
+    f = (kernel([t for _, t, _, _ in rows], marks) @ project - p @ z) @ w + p @ y
+    e = np.exp(L.TEMPERATURE / 2 * f)
+    want = {i: (names[k], v) for (i, *_), k, v in zip(rows, f.argmax(1), (e.max(1) / e.sum(1)), strict=True)}
+    for r in L.identify(df).collect():
+        assert abs(r.score - want[r.doc_id][1]) < 2e-3 and (r.lang_pred == want[r.doc_id][0] or r.score < 0.6)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i % 1300} " * 4, f"l{i % 1300}") for i in range(6500)]
+    df = spark.createDataFrame(rows, "doc_id long, content string, lang string")
+    assert len({x for _, x in L.sample_rows(df)}) == 1300
+
+
 def test_empty_and_unlabelled(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert L.identify(df).collect()[0].lang_pred == "und"

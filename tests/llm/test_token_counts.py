@@ -36,6 +36,31 @@ def test_only_misses_are_encoded(spark, tmp_path):
     assert spark.read.parquet(cache).count() == 3
 
 
+def test_query_finds_hits(spark, tmp_path, monkeypatch):
+    texts = [f"some text number {i % 7}" for i in range(40)] + [None, "", "Some  text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    taken = []
+    append = K.append_counts
+
+    def spy(df, path, cache, *rest):
+        keys = append(df, path, cache, *rest)
+        taken.append(spark.read.parquet(cache).count())
+        return keys
+
+    monkeypatch.setattr(K, "append_counts", spy)
+    got = {r.doc_id: r.n_tokens for r in K.op7_token_counts(spark, str(tmp_path)).collect()}
+    encode = K.load(K.tokenizer_path("word_bpe_49k.json"))
+    assert got == {i: len(encode([t or ""])[0]) for i, t in enumerate(texts)}
+    # Most contents came with the first delivery; the second appended only what was new, each once.
+    assert 0 < taken[0] <= taken[1] == len({"" if t is None else t.replace("  ", " ") for t in texts})
+
+
+def test_repeated_rows_are_encoded_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "same text")] * 9 + [(None, "other")] * 3, "doc_id long, text string")
+    assert K.count_tokens(df, K.tokenizer_path("word_bpe_49k.json"), str(tmp_path / "c")).count() == 12
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert K.count_tokens(df, K.tokenizer_path("word_bpe_49k.json"), str(tmp_path / "c")).count() == 0
