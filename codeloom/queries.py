@@ -846,11 +846,36 @@ def nodes_in(language: str):
     return f
 
 
+#: What the rules of each language say about CODE, worked out by hand.
+NODES_SQL = {
+    "rust": """('src:a.rs:_:add', 'function', 'add', 'Adds.', 2, 2), ('src:a.rs:_:helper', 'function', 'helper', NULL, 3, 3), ('src:a.rs:_:Dog', 'class', 'Dog', NULL, 4, 4),
+('src:a.rs:_:Animal', 'class', 'Animal', NULL, 5, 5), ('src:a.rs:_:name', 'function', 'name', NULL, 6, 6), ('src:a.rs:Dog<Animal>:name', 'function', 'name', NULL, 6, 6)""",
+    "python": """('src:a.py:_:LIMIT', 'constant', 'LIMIT', NULL, 1, 1), ('src:a.py:_:Base', 'class', 'Base', NULL, 2, 5), ('src:a.py:Base:run', 'function', 'run', 'Runs.', 3, 5),
+('src:a.py:_:Child', 'class', 'Child', NULL, 6, 7), ('src:a.py:_:helper', 'function', 'helper', NULL, 8, 9)""",
+    "typescript": """('src:a.ts:_:add', 'function', 'add', NULL, 1, 1), ('src:a.ts:_:helper', 'function', 'helper', NULL, 2, 2), ('src:a.ts:_:Base', 'class', 'Base', NULL, 3, 3),
+('src:a.ts:Base:run', 'function', 'run', NULL, 3, 3), ('src:a.ts:_:Child', 'class', 'Child', NULL, 4, 4), ('src:a.ts:_:Thing', 'class', 'Thing', NULL, 5, 5)""",
+    "go": """('src:a.go:_:Add', 'function', 'Add', 'Add adds.', 3, 3), ('src:a.go:_:help', 'function', 'help', NULL, 4, 4), ('src:a.go:_:Box', 'class', 'Box', NULL, 5, 5),
+('src:a.go:Box:Get', 'function', 'Get', NULL, 6, 6), ('src:a.go:_:Max', 'constant', 'Max', NULL, 7, 7)""",
+    "java": """('src:a.java:_:A', 'class', 'A', NULL, 1, 1), ('src:a.java:A:A', 'function', 'A', NULL, 1, 1), ('src:a.java:A:run', 'function', 'run', NULL, 1, 1),
+('src:a.java:A:help', 'function', 'help', NULL, 1, 1), ('src:a.java:_:I', 'class', 'I', NULL, 2, 2)""",
+}
+#: kind, from, to, confidence over all files, target within the file.
+EDGES = [
+    ("calls", "src:a.go:Box:Get", "src:a.go:_:help", 0.4, "src:a.go:_:help"), ("calls", "src:a.go:_:Add", "src:a.go:_:help", 0.4, "src:a.go:_:help"),
+    ("calls", "src:a.java:A:A", "src:a.java:A:run", 0.5, "src:a.java:A:run"), ("calls", "src:a.java:A:run", "src:a.go:_:help", 0.5, "src:a.java:A:help"),
+    ("calls", "src:a.py:Base:run", "src:a.py:_:helper", 0.4, "src:a.py:_:helper"), ("calls", "src:a.rs:_:add", "src:a.py:_:helper", 0.4, "src:a.rs:_:helper"),
+    ("calls", "src:a.ts:Base:run", "src:a.rs:_:add", 0.4, "src:a.ts:_:add"), ("calls", "src:a.ts:_:add", "src:a.py:_:helper", 0.4, "src:a.ts:_:helper"),
+    ("implements", "src:a.rs:_:Dog", "src:a.rs:_:Animal", 1.0, "src:a.rs:_:Animal"), ("implements", "src:a.ts:_:Child", "src:a.ts:_:Thing", 1.0, "src:a.ts:_:Thing"),
+    ("inherits_from", "src:a.py:_:Child", "src:a.py:_:Base", 0.4, "src:a.py:_:Base"), ("inherits_from", "src:a.ts:_:Child", "src:a.py:_:Base", 0.4, "src:a.ts:_:Base"),
+]
+
+
 for _language in CODE:
     QUERIES[f"extract_nodes_{_language}"] = nodes_in(_language)
+    ORACLES[f"extract_nodes_{_language}"] = f"SELECT * FROM (VALUES {NODES_SQL[_language]}) AS v(node_id, kind, name, description, start_line, end_line)"
 
 
-@query()
+@query("SELECT kind, from_id, to_id, confidence::DOUBLE AS confidence FROM (VALUES " + ", ".join(str(e[:4]) for e in EDGES) + ") AS v(kind, from_id, to_id, confidence)")
 def extract_edges(spark, d):
     """O-45 to O-48: references of all languages, resolved"""
     from codeloom.extract.table import extract_files, nodes_of, refs_of
@@ -859,9 +884,73 @@ def extract_edges(spark, d):
     return resolve(refs_of(rows), nodes_of(rows)).select("kind", "from_id", "to_id", "confidence")
 
 
-@query()
+@query("SELECT 'v1' AS ref, kind, from_id, to_id, 1.0::DOUBLE AS confidence FROM (VALUES " + ", ".join(str((*e[:2], e[4])) for e in EDGES) + ") AS v(kind, from_id, to_id)")
 def revision_graph(spark, d):
     """O-51"""
     from codeloom.plans.index import revision_graph as build
 
     return build(code_files(spark, "v1"))[1]
+
+
+# --- a project of many files, made of the parts ------------------------------------------------------------------------
+
+#: Language by number: extension, lines before the functions, a function, lines after; {k} is the part, {n} the one it calls.
+PROJECT = {
+    "python": ("py", "", "def p{k}(a):\n    return p{n}(a)\n", ""),
+    "rust": ("rs", "", "fn p{k}(a: i32) -> i32 {\n    p{n}(a)\n}\n", ""),
+    "typescript": ("ts", "", "function p{k}(a) {\n    return p{n}(a);\n}\n", ""),
+    "go": ("go", "package m\n", "func p{k}(a int) int {\n\treturn p{n}(a)\n}\n", ""),
+    "java": ("java", "class Parts {\n", "  int p{k}(int a) {\n    return p{n}(a);\n  }\n", "}\n"),
+}
+FILES_OF_EACH = 12
+
+
+def project_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every part is a function, in a file by its key, that calls the function of the next part."""
+    parts = t(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    number = F.col("k") % (len(PROJECT) * FILES_OF_EACH)
+    out = None
+    for i, (language, (ext, head, body, tail)) in enumerate(PROJECT.items()):
+        text = F.lit("")
+        for j, piece in enumerate(body.replace("{k}", "\0k\0").replace("{n}", "\0n\0").split("\0")):
+            text = F.concat(text, F.lit(piece) if j % 2 == 0 else F.col("k").cast("string") if piece == "k" else (F.col("k") + 1).cast("string"))
+        mine = parts.where(number % len(PROJECT) == i).groupBy(number.alias("f")).agg(F.sort_array(F.collect_list(F.struct("k", text.alias("x")))).alias("xs"))
+        content = F.concat(F.lit(head), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit(tail))
+        made = mine.select(F.concat(F.lit("src/f"), F.col("f").cast("string"), F.lit(f".{ext}")).alias("path"), F.lit(language).alias("language"), content.alias("content"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+PROJECT_SQL = f"""f AS (SELECT p_partkey AS k, p_partkey % {len(PROJECT) * FILES_OF_EACH} AS f, row_number() OVER (PARTITION BY p_partkey % {len(PROJECT) * FILES_OF_EACH} ORDER BY p_partkey) - 1 AS r FROM part),
+l AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{ext}', {head.count(chr(10))}, {body.count(chr(10))}, '{'Parts' if name == 'java' else '_'}')" for i, (name, (ext, head, body, _)) in enumerate(PROJECT.items()))}) AS v(i, ext, head, lines, cls)),
+nodes AS (SELECT k, 'src:f' || f || '.' || ext || ':' || cls || ':p' || k AS node_id, (head + r * lines + 1)::INTEGER AS start_line, (head + (r + 1) * lines)::INTEGER AS end_line FROM f JOIN l ON f % {len(PROJECT)} = i)"""
+
+
+@query(f"""WITH {PROJECT_SQL} SELECT node_id, 'function' AS kind, 'p' || k AS name, start_line, end_line FROM nodes
+UNION ALL SELECT DISTINCT 'src:f' || f || '.java:_:Parts', 'class', 'Parts', 1, (max(r) OVER (PARTITION BY f) * 3 + 5)::INTEGER FROM f WHERE f % {len(PROJECT)} = 4""")
+def extract_project_nodes(spark, d):
+    """O-36 to O-44, O-50: the symbols of files in five languages, made of all parts"""
+    from codeloom.extract.table import extract_files, nodes_of
+
+    return nodes_of(extract_files(project_files(spark, d))).select("node_id", "kind", "name", "start_line", "end_line")
+
+
+@query(f"""WITH {PROJECT_SQL} SELECT 'calls' AS kind, a.node_id AS from_id, b.node_id AS to_id, 1.0::DOUBLE AS confidence FROM nodes AS a JOIN nodes AS b ON b.k = a.k + 1""")
+def extract_project_edges(spark, d):
+    """O-45 to O-50: the calls among these files, resolved over all of them"""
+    from codeloom.extract.table import extract_files, nodes_of, refs_of
+
+    rows = extract_files(project_files(spark, d))
+    return resolve(refs_of(rows), nodes_of(rows)).select("kind", "from_id", "to_id", "confidence")
+
+
+@query(f"""WITH {PROJECT_SQL} SELECT count(*) AS edges, (SELECT count(*) FROM nodes) + (SELECT count(DISTINCT f) FROM f WHERE f % {len(PROJECT)} = 4) AS nodes, (SELECT count(DISTINCT f) FROM f) AS files
+FROM nodes AS a JOIN nodes AS b ON b.k = a.k + 1""")
+def index_project(spark, d):
+    """O-50, O-83: these files indexed into a catalog of its own, and its counts"""
+    from codeloom.plans.index import index
+
+    catalog = tables.Catalog(spark)
+    files = project_files(spark, d).withColumn("content_hash", F.sha2("content", 256))
+    index(catalog, files)
+    return enrich.stats(catalog.table("nodes"), catalog.table("edges"), catalog.table("files")).select(F.col("edge_count").alias("edges"), F.col("node_count").alias("nodes"), F.col("file_count").alias("files"))
