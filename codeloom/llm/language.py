@@ -43,6 +43,8 @@ RIDGE = 1e-3
 #: Documents scored by one product.
 SCORE_ROWS = 256
 TEMPERATURE = 8.0
+#: Languages whose sampling rates are broadcast; more are joined by shuffling.
+MOST_BROADCAST = 100_000
 
 
 @dataclass
@@ -175,8 +177,9 @@ def sample_rows(labelled: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, st
         return []
     share = max(4, rows // n)
     # A hash threshold per language takes about one and a half times its share; the driver keeps the smallest hashes.
+    small = F.broadcast if n <= MOST_BROADCAST else lambda x: x
     rates = counts.select("lang", F.least(F.lit(1.0), 1.5 * share / F.col("count")).alias("rate"))
-    near = eligible.withColumn("h", h).withColumn("u", F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)).join(rates, "lang")
+    near = eligible.withColumn("h", h).withColumn("u", F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)).join(small(rates), "lang")
     got = near.where("u < rate OR rate = 1").select("h", "content", "lang").orderBy("h", "content", "lang").collect()
     out: dict[str, list] = {r.lang: [] for r in got}
     for r in got:
