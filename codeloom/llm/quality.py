@@ -5,9 +5,17 @@ Each rule votes good or bad, or abstains. Votes are counted by pattern (at most
 rule's accuracy on each class from those counts, and a document's posterior
 probability of being good is a sum of log odds over its votes.
 
+Without labels, EM can also end where the classes stand for something else (long
+and short, say). It is kept to its purpose by where it starts, by a weak pull
+towards that, and by bounds: a rule is right about good documents in 55 % or more
+of its votes, its vote for good is never evidence for bad, and half or more of the
+documents are good. tests/llm/test_quality.py states what the bounds change.
+
 Defined results: a null or empty text has no words and fails the base test;
-repeated rows are judged each on its own; an empty table gives no rows; other
-columns of the input, whatever their names, are never read.
+repeated rows, and rows that share only the id or have none, are judged each on its
+own; a posterior of exactly THRESHOLD keeps; an empty table gives no rows; texts of
+any length are taken whole; other columns of the input, whatever their names, are
+never read.
 """
 
 from __future__ import annotations
@@ -30,21 +38,22 @@ THRESHOLD = 0.5
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; windows are told apart by 64-bit hashes."""
+    """Words inside 3-word windows that occur twice or more: windows with equal 64-bit hashes are neighbours after a sort, and their words are compared."""
+    same = lambda w, a, b: (F.get(w, a) == F.get(w, b)) & (F.get(w, a + 1) == F.get(w, b + 1)) & (F.get(w, a + 2) == F.get(w, b + 2))
 
     def of_windows(w: Column) -> Column:
         windows = F.transform(
             F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
             lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
         )
-        return let(F.sort_array(windows), of_sorted)
+        return let(F.sort_array(windows), lambda s: of_sorted(w, s))
 
-    def of_sorted(s: Column) -> Column:
-        twice = F.filter(
-            s,
-            lambda x, j: F.coalesce((F.get(s, j + 1)["h"] == x["h"]), F.lit(False))
-            | ((j > 0) & (F.get(s, F.greatest(j - 1, F.lit(0)))["h"] == x["h"])),
-        )
+    def of_sorted(w: Column, s: Column) -> Column:
+        def equal(x: Column, j: Column) -> Column:
+            y = F.get(s, j)
+            return F.coalesce((y["h"] == x["h"]) & same(w, x["i"], y["i"]), F.lit(False))
+
+        twice = F.filter(s, lambda x, j: equal(x, j + 1) | ((j > 0) & equal(x, F.greatest(j - 1, F.lit(0)))))
         return let(F.sort_array(F.transform(twice, lambda x: x["i"])), of_starts)
 
     def of_starts(at: Column) -> Column:
@@ -176,7 +185,7 @@ def quality_rules(df: DataFrame, id_column: str = "doc_id", text: str = "text")
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that pass, with its own columns."""
+    """The rows of ``df`` that pass, with its own columns; null and empty texts go, repeated rows are judged alike."""
     return judge(cut(signals(df, text), "quality")).where("kept").select("_row.*")
 
 
