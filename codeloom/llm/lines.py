@@ -109,12 +109,11 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", sca
     # Written first, so that the join's two sides are plain exchanges and a frequent chunk's rows can be split.
     groups = cut(groups, "groups")
     own = F.struct("doc_id", "text_key", "start")
-    repeats = many.join(groups, ["h1", "h2"]).select(*many.columns, (own == F.col("first")).alias("is_first"))
-    repeats = cut(repeats.distinct(), "repeats")
+    repeats = cut(many.join(groups, ["h1", "h2"]).select(*many.columns, (own == F.col("first")).alias("is_first")), "repeats")
 
-    # The bytes of repeated chunks: an array per document, no longer than its own list of chunks.
+    # The bytes of repeated chunks: an array per document, no longer than its own list of chunks. Sets, as repeated rows bring the same chunks.
     fields = ("start", "end", "line", "line_end", "h1", "h2", "is_first")
-    wanted = repeats.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+    wanted = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*fields)).alias("wanted"))
     raw = F.col("content").cast("binary")
     fetched = texts.join(wanted, ["doc_id", "text_key"]).select(
         "doc_id", "text_key",
