@@ -401,6 +401,8 @@ def find_spans(df: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataF
     if not big.isEmpty():
         each = cut(contexts.join(big, "key", "left_semi").mapInArrow(lambda it: windows(it, length), "w1 long, w2 long, doc_id long, start long").distinct(), "windows")
         first = each.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        # Written, so that the join's sides are plain exchanges and a frequent window's rows can be split.
+        first = cut(first, "firsts")
         more = each.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
         spans = spans.union(more.select("doc_id", "start", (F.col("start") + length).alias("end")))
     return settled.union(spans)
