@@ -43,7 +43,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 #: A task compares at most so many forms, or bytes of their texts, with each other; larger components are split into blocks.
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 256
 BLOCK_BYTES = 16 << 20
 
 SLICE = 1 << 20
