@@ -389,7 +389,7 @@ def find_spans(df: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataF
     free_shuffles(spark)
     settled = found.where("kind = 1").select("doc_id", "start", F.col("a").alias("end"))
     open_ = found.where("kind = 0").select("h", "doc_id", "start")
-    hot = open_.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("hot"))
+    hot = cut(open_.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("hot")), "hot")
     wanted = open_.join(hot, "h", "left").groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     contexts = texts.join(wanted, "doc_id").select("doc_id", "wanted", "content").mapInArrow(lambda it: fetch(it, length), CONTEXTS)
     contexts = cut(contexts, "contexts")
