@@ -20,30 +20,53 @@ from codeloom.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that fail the base rules or the weak-supervision verdict go."""
+    """Operator 9: documents that fail the base rules or the weak-supervision verdict go.
+
+    Null and empty texts have no words and go; rows are judged each on its own, whatever
+    their ids; an empty table gives no rows; other columns pass through.
+    """
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: repeated chunks of lines are cut out; documents with nothing else go."""
+    """Operator 1: repeated chunks of lines are cut out; documents with nothing else go.
+
+    Null and empty texts stay as they are; rows that share id and text get the same
+    result, rows that share only the id (or have none) are different documents; ties in
+    position are broken by the texts' hashes; an empty table gives no rows; n_chars is
+    set anew where there is one, other columns pass through.
+    """
     ship(spark)
     return without_repeats(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each class of near duplicates stays."""
+    """Operator 6: one document of each class of near duplicates stays, the one with the least id.
+
+    Texts without words stay; of rows that share id and text one stays, rows that share
+    only the id (or have none) are different documents, in the order of their texts'
+    hashes; an empty table gives no rows; other columns pass through.
+    """
     ship(spark)
-    return keep_one(docs, by_text=True)
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents with a window of a benchmark item go."""
+    """Operator 10: documents with a window of a benchmark item go.
+
+    Null and empty texts stay; rows are judged each on its own, whatever their ids; an
+    empty table gives no rows; other columns pass through.
+    """
     ship(spark)
     return drop_contaminated(docs, benchmark_table(spark, sf_dir))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every document as token ids, with digests of the ids and of what they decode to."""
+    """Operator 5: every document as token ids, with digests of the ids and of what they decode to.
+
+    Null is the empty text and has no tokens; every row gives a row with its id, lang and
+    source; an empty table gives no rows; other columns go.
+    """
     ship(spark)
     return encode_documents(docs, tokenizer_path("word_bpe_49k.json"), ("ids", "n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id", "lang", "source"))
 
