@@ -210,7 +210,7 @@ def code(batches: Iterator[pa.RecordBatch], path: str, columns: tuple[str, ...],
 
 
 def encode_documents(df: DataFrame, path: str, columns: tuple[str, ...] = ("ids", "n_tokens"), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row with those of ``COLUMNS`` that are asked for."""
+    """The columns ``keep`` of every row with those of ``COLUMNS`` that are asked for; null texts have no tokens, an empty table gives no rows."""
     taken = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_content"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]] + [f"`{c}` {COLUMNS[c]}" for c in columns]
     return taken.mapInArrow(lambda it: code(it, path, columns), ", ".join(fields))

@@ -266,7 +266,7 @@ def find_contamination(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark."""
+    """The rows of ``docs`` that hold no window of the benchmark; null and empty texts and all other columns pass through."""
     sc = docs.sparkSession.sparkContext
     made = (make_block(rows, window) for rows in block_rows(benchmark, item_column, item_text, block_bytes))
     blocks = [SharedBlock(sc.broadcast(b)) for b in made if b is not None]
