@@ -36,27 +36,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Rows of a batch that goes to a Python worker while ``cut`` writes: whole texts are large rows.
-BATCH_ROWS = 2000
+#: Session settings while a table is written: batches to Python workers have fewer rows, as whole texts are large
+#: ones, and shuffle files go as soon as the table is there, as nothing reads the plan again.
+WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    if not 0 < int(old) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def writing(spark: SparkSession):
+    old = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with small_batches(spark):
+    with writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,14 +71,6 @@ def drop_table(df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of plans nobody refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times inside ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.keys import NULL_ID
 from codeloom.llm.pieces import PieceCache, blanks_part, piece_starts
-from codeloom.llm.shared import cut, documents, new_path, small_batches
+from codeloom.llm.shared import cut, documents, new_path, writing
 from codeloom.llm.words import table_slices, text_buffer
 
 LIMIT = 2048
@@ -155,7 +155,7 @@ def append_counts(df: DataFrame, path: str, cache: str, id_column: str = "doc_id
     misses = keys.groupBy("digest").agg(F.min(least).alias("least")).join(read_cache(spark, cache, version), "digest", "left_anti")
     picked = rows.withColumn("least", least).join(misses, ["digest", "least"], "left_semi").select("digest", "content")
     encoded = picked.mapInArrow(encode_misses(path), "digest binary, n_tokens long")
-    with small_batches(spark):
+    with writing(spark):
         encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     return keys
 
