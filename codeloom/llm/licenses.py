@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.shared import documents
-from codeloom.llm.suffix import ragged
-from codeloom.llm.words import mix, scan_words, table_slices, text_buffer
+from codeloom.llm.words import mix, ragged, scan_words, table_slices, text_buffer
 
 THRESHOLD = 0.8
 MOST_TEMPLATE_BYTES = 8 << 20

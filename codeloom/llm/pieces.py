@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from codeloom.llm.words import Prefix
+from codeloom.llm.words import Prefix, ragged
 
 MOST_PIECES = 800_000
 MOST_BYTES = 24 << 20
@@ -74,12 +74,6 @@ class Store:
         return self.a[: self.n]
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The indices of ranges one after the other."""
-    at = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - at, sizes)
-
-
 class PieceCache:
     def __init__(self, encode, most: int = MOST_PIECES, most_bytes: int = MOST_BYTES):
         self.encode, self.most, self.most_bytes = encode, most, most_bytes

@@ -8,24 +8,13 @@ costs nothing but the tasks that ran on it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (local tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        named = "file://" + tempfile.mkdtemp(prefix="codeloom-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+from codeloom.plans.tables import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.keys import key_rows
 from codeloom.llm.shared import cut, documents
-from codeloom.llm.words import Prefix, mix, table_slices
+from codeloom.llm.words import Prefix, mix, ragged, table_slices
 
 LENGTH = 100
 K = 32
@@ -53,11 +53,6 @@ RANGES = 4
 SLICE = 2 << 20
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    at = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - at, sizes)
-
-
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """``op`` over every window of ``width`` values, by doubling."""
     step = 1
