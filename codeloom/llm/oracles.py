@@ -41,4 +41,52 @@ counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1),
 copies AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY w) END AS copy_of FROM d)
 SELECT d.doc_id, copy_of, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM d JOIN copies USING (doc_id) JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
-ORACLES = {"op10_decontaminate": DECONTAMINATION, "op3_suffix_dedup": SUBSTRINGS, "op6_ngram_jaccard": NEAR_DUPLICATES}
+# Rules of the quality operator: (vote for good, vote for bad), the latter first.
+_RULES = (
+    ("n_words >= 100", "n_words < 50"),
+    ("word_chars / m BETWEEN 3 AND 10", "word_chars / m < 2 OR word_chars / m > 14"),
+    ("n_symbols / m <= 0.02", "n_symbols / m > 0.1"),
+    ("n_symbols / c <= 0.005", "n_symbols / c > 0.03"),
+    ("n_short / m >= 0.1", "n_short / m < 0.04"),
+    ("n_dup_lines / greatest(n_lines, 1) <= 0.05", "n_dup_lines / greatest(n_lines, 1) > 0.3"),
+    ("n_repeat_words / m <= 0.1", "n_repeat_words / m > 0.3"),
+    ("n_stops / m BETWEEN 0.02 AND 0.5", "n_stops / m < 0.002"),
+    ("n_digits / c <= 0.05", "n_digits / c > 0.2"),
+)
+
+
+def _each(form: str, between: str = ", ") -> str:
+    return between.join(form.format(j=j) for j in range(len(_RULES)))
+
+
+_ODDS = "ln(prior / (1 - prior)) + " + _each("CASE v{j} WHEN 1 THEN ln(g{j} / (1 - b{j})) WHEN 0 THEN ln((1 - g{j}) / b{j}) ELSE 0 END", " + ")
+
+#: The rounds of expectation-maximisation are the steps of a recursive query over the counts of vote patterns.
+QUALITY = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS k FROM again) GROUP BY 1),
+sig AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[.!?]'))::BIGINT AS n_stops,
+  len(regexp_extract_all(t, '[0-9]'))::BIGINT AS n_digits, len([x FOR x IN w IF regexp_matches(x, '^\p{{L}}{{1,3}}$')]) AS n_short FROM w LEFT JOIN rep USING (r)),
+sized AS (SELECT *, greatest(n_words, 1) AS m, greatest(word_chars, 1) AS c FROM sig),
+votes AS (SELECT *, {", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE -1 END AS v{j}" for j, (good, bad) in enumerate(_RULES))} FROM sized),
+pat AS (SELECT {_each("v{j}")}, count(*) AS n FROM votes GROUP BY ALL),
+em AS (
+  SELECT 0 AS k, 0.9::DOUBLE AS prior, {_each("0.95::DOUBLE AS g{j}, 0.4::DOUBLE AS b{j}")}, 1::DOUBLE AS moved
+  UNION ALL
+  SELECT k + 1, prior2, {_each("good{j}, bad{j}")}, greatest(abs(prior2 - prior), {_each("abs(good{j} - g{j}), abs(bad{j} - b{j})")}) FROM (
+    SELECT *, {_each("least(0.995, greatest(1.005 - good{j}, low{j})) AS bad{j}")} FROM (
+      SELECT k, prior, {_each("g{j}, b{j}")}, least(0.995, greatest(0.5, (sum(n * p) + 0.9e-3 * sum(n)) / (1.001 * sum(n)))) AS prior2,
+        {_each("least(0.995, greatest(0.55, (sum(n * p * (v{j} = 1)::INT) + 0.95e-3 * sum(n)) / (sum(n * p * (v{j} >= 0)::INT) + 1e-3 * sum(n)))) AS good{j}")},
+        {_each("(sum(n * (1 - p) * (v{j} = 0)::INT) + 0.4e-3 * sum(n)) / (sum(n * (1 - p) * (v{j} >= 0)::INT) + 1e-3 * sum(n)) AS low{j}")}
+      FROM (SELECT em.*, pat.*, 1 / (1 + exp(-({_ODDS}))) AS p FROM em, pat WHERE k < 300 AND moved >= 1e-7)
+      GROUP BY k, prior, {_each("g{j}, b{j}")}))
+),
+fitted AS (SELECT * FROM em ORDER BY k DESC LIMIT 1),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({_ODDS}))) AS quality_p FROM votes, fitted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stops, n_digits, n_short, base_failed, quality_p, NOT base_failed AND quality_p >= 0.5 AS kept FROM judged"""
+
+ORACLES = {"op10_decontaminate": DECONTAMINATION, "op3_suffix_dedup": SUBSTRINGS, "op6_ngram_jaccard": NEAR_DUPLICATES, "op9_quality_rules": QUALITY}
