@@ -9,10 +9,11 @@ sent to executors is the benchmark, in blocks of a bounded size.
 
 A suffix whose first words begin no benchmark suffix can match none, so it is
 left out before the sort. Words are compared by 64-bit hashes in the search and
-byte by byte on the windows that it finds.
+byte by byte on the windows that it finds; the lengths of longest matches rest on
+the hashes.
 
 Defined results: a null or empty document has no words and is clean; a null or
-empty item occurs nowhere; an item without an id is searched like others and
+empty item occurs nowhere; longest_match is 0 below LEAST_MATCH words; an item without an id is searched like others and
 counts in n_hit and contaminated, but not in n_items and the digest; items that
 share an id count once; repeated
 documents are judged each on its own; empty tables give no rows (documents) or
@@ -35,6 +36,8 @@ from codeloom.llm.shared import documents
 from codeloom.llm.words import LOWER, scan_words, table_slices, text_buffer
 
 WINDOW = 10
+#: Shorter runs of common words are no longest match.
+LEAST_MATCH = 3
 #: One broadcast block of the benchmark holds at most this many bytes of text; more text makes more blocks.
 BLOCK_BYTES = 4 << 20
 
@@ -82,7 +85,7 @@ def make_block(rows: list[tuple[str | None, str]], window: int) -> Block | None:
     ids = ids.astype(np.int64) + 1
     depth = int(min(3, need.min()))
     at = np.arange(len(ids))
-    at = at[at + need <= stop]
+    at = at[at + depth <= stop]
     heads = np.unique(head_keys(ids, at, depth, len(vocab) + 1))
     low = LOWER[data]
     texts = [low[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(rows))]
@@ -203,7 +206,7 @@ def scan(batches: Iterator[pa.RecordBatch], blocks) -> Iterator[pa.RecordBatch]:
                 for d, i in set(zip(w.doc_of(at).tolist(), item.tolist(), strict=True)):
                     if b.items[i] is not None:
                         items[d].add(b.items[i])
-                some = np.flatnonzero(length)
+                some = np.flatnonzero(length >= LEAST_MATCH)
                 np.maximum.at(longest, w.doc_of(some), length[some])
                 if len(blocks) > 1:
                     block.unpersist_local()
@@ -286,4 +289,6 @@ def benchmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(documents(spark, sf_dir), benchmark_table(spark, sf_dir)).drop("spans", "items", "longest_match")
+    """The contract's columns, the longest match, and the hit runs as text (first word-end word, comma-joined)."""
+    places = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return find_contamination(documents(spark, sf_dir), benchmark_table(spark, sf_dir)).drop("items").withColumn("spans", places)

@@ -12,10 +12,17 @@ win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1),
 sizes AS (SELECT DISTINCT n FROM win),
 places AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n)),
 found AS (SELECT doc_id, places.n, i, item_id FROM places JOIN win ON win.g = places.g AND win.n = places.n),
-hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY 1),
+hits AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) - 1 AS k FROM found),
+runs AS (SELECT doc_id, min(k) AS a, max(k) + 1 AS b FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM hits) GROUP BY doc_id, run),
+hit AS (SELECT doc_id, sum(b - a) AS n_hit, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM runs GROUP BY 1),
+d3 AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+b3 AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT row_number() OVER () AS r, w FROM b))),
+diagonals AS (SELECT doc_id, r, d3.i - b3.i AS diagonal, d3.i FROM d3 JOIN b3 USING (g)),
+longest AS (SELECT doc_id, max(n) + 2 AS n FROM (SELECT doc_id, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, diagonal ORDER BY i) AS run FROM diagonals) GROUP BY doc_id, r, diagonal, run) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest.n, 0)::BIGINT AS longest_match, coalesce(spans, '') AS spans
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN longest ON longest.doc_id = d.doc_id"""
 
 SUBSTRINGS = """
 WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),

@@ -77,6 +77,28 @@ def test_only_long_items_and_longest(spark):
     assert r.longest_match == 21 and [(s.start, s.end) for s in r.spans] == [(1, 22)] and r["items"] == ["7"]
 
 
+def longest(w, bench):
+    """The longest run of words of ``w`` in any item, by brute force; 0 below three words."""
+    best = 0
+    for _, t in bench:
+        x = words(t)
+        row = [0] * (len(x) + 1)
+        for a in w:
+            row = [0] + [row[j] + 1 if a == b else 0 for j, b in enumerate(x)]
+            best = max(best, *row)
+    return best if best >= 3 else 0
+
+
+def test_longest_match_equals_brute_force(spark):
+    docs, bench = tables(8)
+    docs = [(i, t) for i, t in docs if len(t or "") < 3000]
+    want = sorted((i, longest(words(t), bench)) for i, t in docs)
+    for more in ({}, {"block_bytes": 300}):
+        got, _ = run(spark, docs, bench, **more)
+        assert sorted((r.doc_id, r.longest_match) for r in got.collect()) == want
+    assert len({n for _, n in want}) > 8
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")])[1] == []
     assert run(spark, [(1, "a b c")], [])[1] == brute([(1, "a b c")], [])
