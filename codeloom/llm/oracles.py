@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from codeloom.llm.licenses import TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_WORDS = _words("text")
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -96,4 +104,43 @@ fitted AS (SELECT * FROM em ORDER BY k DESC LIMIT 1),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({_ODDS}))) AS quality_p FROM votes, fitted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stops, n_digits, n_short, base_failed, quality_p, NOT base_failed AND quality_p >= 0.5 AS kept FROM judged"""
 
-ORACLES = {"op10_decontaminate": DECONTAMINATION, "op3_suffix_dedup": SUBSTRINGS, "op6_ngram_jaccard": NEAR_DUPLICATES, "op9_quality_rules": QUALITY}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in TEMPLATES.items() for text in texts)
+
+#: Every window that begins and ends with a bigram of the template, by running counts from each beginning.
+LICENSES = f"""
+WITH t AS (SELECT row_number() OVER () AS i, name, {_words("body")} AS w FROM (VALUES {_TEMPLATES}) AS v(name, body)),
+tb AS (SELECT DISTINCT i, name, w[k] || ' ' || w[k + 1] AS g FROM (SELECT i, name, w, unnest(range(1, len(w))) AS k FROM t)),
+ts AS (SELECT i, name, count(*) AS size FROM tb GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, j - 1 AS line, {_words("lines[j]")} AS w FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS j FROM d)),
+o AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM l),
+wd AS (SELECT r, line, before + k - 1 AS p, w[k] AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM o)),
+bg AS (SELECT *, lag(p) OVER (PARTITION BY r, g ORDER BY p) AS last FROM (SELECT r, p, lag(x) OVER (PARTITION BY r ORDER BY p) || ' ' || x AS g FROM wd) WHERE g IS NOT NULL),
+own AS (SELECT r, i, p, g FROM bg JOIN tb USING (g)),
+cand AS (SELECT r, i, name, size FROM (SELECT r, i, count(DISTINCT g) AS n FROM own GROUP BY ALL) JOIN ts USING (i) WHERE n >= 0.8 * size / 1.2 - 1e-9),
+runs AS (SELECT c.r, c.i, c.name, c.size, s.p AS a, k.p AS y, e.p IS NOT NULL AS ends,
+  sum((coalesce(k.last, -1) < s.p)::INT) OVER w AS different, sum((coalesce(k.last, -1) < s.p AND e.p IS NOT NULL)::INT) OVER w AS shared
+  FROM cand AS c JOIN own AS s ON s.r = c.r AND s.i = c.i JOIN bg AS k ON k.r = c.r AND k.p >= s.p LEFT JOIN own AS e ON e.r = c.r AND e.i = c.i AND e.p = k.p
+  WINDOW w AS (PARTITION BY c.r, c.i, s.p ORDER BY k.p)),
+good AS (SELECT *, 2 * shared / (different + size) AS dice FROM runs WHERE ends AND 2 * shared >= (0.8 - 1e-12) * (different + size)),
+tops AS (SELECT *, max(dice) OVER (PARTITION BY r, i, a) AS top FROM good),
+wins AS (SELECT r, name, i, a - 1 AS a, max(y) + 1 AS b, top AS dice FROM tops WHERE dice >= top - 1e-12 GROUP BY r, name, i, a, top),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY round(dice, 12) DESC, b - a DESC, name, a, i) AS k FROM wins),
+many AS (SELECT r, count(DISTINCT name) AS n FROM wins GROUP BY 1),
+sizes AS (SELECT r, sum(len(w)) AS n FROM l GROUP BY 1)
+SELECT d.doc_id, sizes.n::BIGINT AS n_words, best.name AS license, coalesce(round(dice, 9), 0)::DOUBLE AS dice, coalesce(many.n, 0)::BIGINT AS n_licenses,
+  x.line AS first_line, z.line + 1 AS end_line, a AS first_word, b AS end_word
+FROM d JOIN sizes USING (r) LEFT JOIN best ON best.r = d.r AND k = 1 LEFT JOIN many ON many.r = d.r LEFT JOIN wd AS x ON x.r = d.r AND x.p = a LEFT JOIN wd AS z ON z.r = d.r AND z.p = b - 1"""
+
+ORACLES = {
+    "op2_license_scan": LICENSES,
+    "op3_suffix_dedup": SUBSTRINGS,
+    "op6_ngram_jaccard": NEAR_DUPLICATES,
+    "op9_quality_rules": QUALITY,
+    "op10_decontaminate": DECONTAMINATION,
+}
