@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codeloom.llm.licenses import TEMPLATES
+from codeloom.llm.words import BASE, BYTE_VALUES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -137,7 +138,49 @@ SELECT d.doc_id, sizes.n::BIGINT AS n_words, best.name AS license, coalesce(roun
   x.line AS first_line, z.line + 1 AS end_line, a AS first_word, b AS end_word
 FROM d JOIN sizes USING (r) LEFT JOIN best ON best.r = d.r AND k = 1 LEFT JOIN many ON many.r = d.r LEFT JOIN wd AS x ON x.r = d.r AND x.p = a LEFT JOIN wd AS z ON z.r = d.r AND z.p = b - 1"""
 
+
+_BYTES = ", ".join(f"('{b:02X}', {v})" for b, v in enumerate(BYTE_VALUES.tolist()))
+_WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(table: str, keep: str) -> str:
+    """``table`` with the finaliser of its column h, which wraps at 64 bits."""
+    return (
+        f"(SELECT {keep}, xor(h, h >> 31) AS h FROM (SELECT {keep}, (xor(h, h >> 27) * 10723151780598845931::UHUGEINT) % {_WRAP} AS h "
+        f"FROM (SELECT {keep}, (xor(h, h >> 30) * 13787848793156543929::UHUGEINT) % {_WRAP} AS h FROM {table})))"
+    )
+
+
+#: Lines are hashed byte by byte, as powers of the base modulo 2**64, to find the borders; chunks are compared as texts.
+LINE_CHUNKS = rf"""
+WITH RECURSIVE low(i, p) AS (SELECT 0, 1::UHUGEINT UNION ALL SELECT i + 1, (p * {BASE}::UHUGEINT) % {_WRAP} FROM low WHERE i < 1023),
+high(i, p) AS (SELECT 0, 1::UHUGEINT UNION ALL SELECT i + 1, (p * {pow(BASE, 1024, 1 << 64)}::UHUGEINT) % {_WRAP} FROM high WHERE i < 1023),
+v(b, v) AS (VALUES {_BYTES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, k, l[k] AS line, CASE WHEN k < len(l) THEN chr(10) ELSE '' END AS stop FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM d)),
+full_lines AS (SELECT * FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+distinct_lines AS (SELECT row_number() OVER () AS n, line, hex(encode(line)) AS hx FROM (SELECT DISTINCT line FROM full_lines)),
+b AS (SELECT n, i, substr(hx, 2 * i + 1, 2) AS b FROM (SELECT n, hx, unnest(range(0, length(hx) // 2)) AS i FROM distinct_lines)),
+sums AS (SELECT n, (sum(((v.v::UHUGEINT * ((low.p * high.p) % {_WRAP})) % {_WRAP})::HUGEINT))::UHUGEINT % {_WRAP} AS h FROM b JOIN v USING (b) JOIN low ON low.i = b.i % 1024 JOIN high ON high.i = b.i // 1024 GROUP BY 1),
+hashes AS (SELECT line, m.h FROM {_mixed("sums", "n")} AS m JOIN distinct_lines USING (n)),
+numbered AS (SELECT r, doc_id, k, line, h, row_number() OVER (PARTITION BY r ORDER BY k) AS j, count(*) OVER (PARTITION BY r) AS n, lead(hashes.h) OVER (PARTITION BY r ORDER BY k) AS after FROM full_lines JOIN hashes USING (line)),
+pairs AS (SELECT r, doc_id, k, j, n, (h * 3 + coalesce(after, 0)) % {_WRAP} AS h FROM numbered),
+borders AS (SELECT * FROM {_mixed("pairs", "r, doc_id, k, j, n")} WHERE h % 4 != 0 OR j = 1 OR j = n),
+chunks AS (SELECT * FROM (SELECT r, doc_id, k AS a, j AS ja, lead(k) OVER w AS b, lead(j) OVER w AS jb FROM borders WINDOW w AS (PARTITION BY r ORDER BY k)) WHERE b IS NOT NULL),
+texts AS (SELECT chunks.*, array_to_string(list_slice(l, a, b), chr(10)) AS body FROM chunks JOIN d USING (r)),
+repeats AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS place FROM texts) WHERE place > 1),
+gone AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS k FROM repeats),
+kept AS (SELECT r, string_agg(line || stop, '' ORDER BY k) AS t FROM x ANTI JOIN gone USING (r, k) GROUP BY 1),
+n_lines AS (SELECT r, count(*) AS n FROM full_lines GROUP BY 1),
+n_chunks AS (SELECT r, count(*) AS n FROM chunks GROUP BY 1),
+n_gone AS (SELECT r, count(*) AS n FROM repeats GROUP BY 1),
+n_cut AS (SELECT r, count(*) AS n FROM full_lines SEMI JOIN gone USING (r, k) GROUP BY 1)
+SELECT doc_id, coalesce(n_lines.n, 0)::BIGINT AS n_lines, coalesce(n_chunks.n, 0)::BIGINT AS n_chunks, coalesce(n_gone.n, 0)::BIGINT AS n_removed_chunks, coalesce(n_cut.n, 0)::BIGINT AS n_removed_lines,
+  octet_length(encode(coalesce(t, '')))::BIGINT AS n_kept_bytes, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n_lines USING (r) LEFT JOIN n_chunks USING (r) LEFT JOIN n_gone USING (r) LEFT JOIN n_cut USING (r) LEFT JOIN kept USING (r)"""
+
 ORACLES = {
+    "op1_line_dedup": LINE_CHUNKS,
     "op2_license_scan": LICENSES,
     "op3_suffix_dedup": SUBSTRINGS,
     "op6_ngram_jaccard": NEAR_DUPLICATES,

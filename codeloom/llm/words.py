@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 #: Texts are scanned in slices of about this many bytes (one text is never split).
 SLICE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
+BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -34,7 +34,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept between batches."""
     if len(_powers["up"]) < n:
         size = 1 << max(16, int(n).bit_length())
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+        for key, base in (("up", np.uint64(BASE)), ("down", _BASE_INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
             _powers[key] = np.multiply.accumulate(x)
@@ -62,7 +62,7 @@ class Prefix:
     def __init__(self, data: np.ndarray):
         self.up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * self.up[: len(data)], out=self.sums[1:])
+        np.cumsum(BYTE_VALUES[data] * self.up[: len(data)], out=self.sums[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
@@ -144,7 +144,7 @@ def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(total - n + 1, np.uint64)
     for j in range(n):
-        out += words.hashes[j : total - n + 1 + j] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+        out += words.hashes[j : total - n + 1 + j] * np.uint64(pow(BASE, j + 1, 1 << 64))
     last = np.repeat(words.first[1:], words.counts)[: total - n + 1]
     at = np.flatnonzero(np.arange(total - n + 1) + n <= last)
     return mix(out[at]), at
