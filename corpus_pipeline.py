@@ -87,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL has no expectation-maximisation, rolling chunks or BPE; tests/llm/test_pipeline.py has a brute-force version.
+#: SQL has no BPE; the other four stages' operators have SQL of their own, and tests/llm/test_pipeline.py has a brute-force version of the whole.
 ORACLE_SQL = None
