@@ -241,7 +241,8 @@ def near_classes(keyed: Keyed, threshold: float, recall: float, block_docs: int,
     forms = signed.where("form IS NOT NULL").groupBy("form").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("size").alias("size"))
     forms = cut(forms, "forms")
 
-    banded = forms.select("rep", F.explode("bands").alias("key"))
+    # Spark judges a side's size before its lists are laid out: without the hint it broadcasts the bands of all forms.
+    banded = forms.select("rep", F.explode("bands").alias("key")).hint("merge")
     groups = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = banded.join(groups, "key").where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     roots = components(ties)
@@ -251,7 +252,7 @@ def near_classes(keyed: Keyed, threshold: float, recall: float, block_docs: int,
     member = cut(member.join(sizes.select("root", (blocks_of(F.col("n"), F.col("bytes"), block_docs, block_bytes) > 1).alias("split")), "root"), "member")
     place = lambda grp, band, block, blocks: F.struct(F.col(grp).alias("grp"), band.cast("int").alias("band"), block.cast("int").alias("block"), blocks.cast("int").alias("blocks"))
     places = member.where("NOT split").select("rep", F.array(place("root", F.lit(-1), F.lit(0), F.lit(1))).alias("places"))
-    large = member.where("split").select("rep", "form", "size", F.posexplode("bands").alias("band", "key"))
+    large = member.where("split").select("rep", "form", "size", F.posexplode("bands").alias("band", "key")).hint("merge")
     if not large.isEmpty():
         sums = large.groupBy("key").agg(
             F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")
@@ -261,7 +262,7 @@ def near_classes(keyed: Keyed, threshold: float, recall: float, block_docs: int,
         sums = sums.select(F.col("first.key").alias("key"), blocks_of(F.col("n"), F.col("bytes"), block_docs, block_bytes).alias("blocks"))
         there = large.join(sums, "key").select("rep", place("key", F.col("band"), F.pmod(F.xxhash64("form"), F.col("blocks")), F.col("blocks")).alias("p"))
         places = places.union(there.groupBy("rep").agg(F.collect_list("p").alias("places")))
-    texts = keyed.texts().withColumnRenamed("doc_id", "rep").join(member.select("rep", "form", "copies", "size", "split").join(places, "rep"), "rep")
+    texts = keyed.texts().withColumnRenamed("doc_id", "rep").hint("merge").join(member.select("rep", "form", "copies", "size", "split").join(places.hint("merge"), "rep"), "rep")
     # A pair of blocks (i, j) gets the forms of both; a block is compared within itself at (i, i).
     spread = texts.withColumn("p", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
     spread = spread.select("p.grp", "p.band", F.least("p.block", "other").alias("i"), F.greatest("p.block", "other").alias("j"), "p.block", "rep", "copies", "size", "split", "content", "form")
@@ -275,7 +276,7 @@ def near_classes(keyed: Keyed, threshold: float, recall: float, block_docs: int,
         links = links.join(merged.withColumnRenamed("node", "least"), "least", "left").select("form", "links", F.coalesce("root", "least").alias("least"))
     # Written first, so that the join's two sides are plain exchanges and a frequent form's rows can be split.
     classes = cut(forms.select("form", "rep", "copies").join(links, "form", "left"), "classes")
-    return signed.select("doc_id", "form").join(classes, "form", "left").drop("form")
+    return signed.select("doc_id", "form").join(classes.hint("merge"), "form", "left").drop("form")
 
 
 def near_duplicates(
