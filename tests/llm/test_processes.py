@@ -19,7 +19,7 @@ print('rows', len(e.queries()[sys.argv[3]](s, '/root/testdata/sf0.001').collect(
 """
 
 
-@pytest.mark.parametrize("name", ["op6_ngram_jaccard", "op3_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op6_ngram_jaccard", "op3_suffix_dedup", "pipeline"])
 def test_run_tables_start_no_process(tmp_path, name):
     (tmp_path / "bin").mkdir()
     log, stub = tmp_path / "log", tmp_path / "bin/chmod"
