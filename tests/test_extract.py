@@ -145,3 +145,30 @@ def test_never_raises(language):
     for _ in range(300):
         extract("a/b.x", language, "".join(rng.choice(parts) for _ in range(rng.randrange(40))))
     assert extract("a", "cobol", "x") == ([], [])
+
+
+@pytest.mark.parametrize("language", ["rust", "python", "typescript", "go", "java"])
+def test_time_grows_with_the_file_and_not_its_square(language):
+    import time
+
+    from codeloom.queries import PROJECT
+
+    _, head, body, tail = PROJECT[language]
+
+    def seconds(n: int) -> float:
+        text = head + "".join(body.replace("{k}", str(k)).replace("{n}", str(k + 1)) for k in range(n)) + tail
+        began = time.process_time()
+        nodes, refs = extract("src/f.x", language, text)
+        assert len(refs) == n and len(nodes) == n + (language == "java")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 20 * min(seconds(1000), seconds(1000))  # 8 times the text; 34 to 46 times before
+
+
+def test_long_strings_are_no_names():
+    import time
+
+    began = time.process_time()
+    assert [r["ref_name"] for r in extract("a.ts", "typescript", "function f() {\n  g('" + "x" * 40_000 + "'); }\n")[1]] == ["g"]
+    assert time.process_time() - began < 3
